@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .lines import line_digest
+from .near_dup import near_duplicates
 from .packing import pack
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(read_table(spark, sf_dir, "documents"))
 
@@ -20,11 +25,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                              ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        g AS (SELECT s, list(doc_id) AS docs, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+        f AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM (SELECT list_sort(s) AS s, min(rep) AS rep FROM g GROUP BY 1)),
+        p AS (
+          SELECT a.rep AS a, b.rep AS b FROM f a JOIN f b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        c AS (SELECT min(rep) OVER (PARTITION BY list_sort(s)) AS rep, unnest(docs) AS doc_id FROM g),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT rep, doc_id FROM c UNION ALL SELECT doc_id, rep FROM c),
+        r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
     "op4_line_dedup": r"""
         WITH l AS (
           SELECT d.doc_id, t.i, t.line, regexp_replace(t.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
