@@ -10,6 +10,11 @@ from .common import read_table
 from .lines import line_digest
 from .near_dup import near_duplicates
 from .packing import pack
+from .substring import substring_digest
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(read_table(spark, sf_dir, "documents"), width=13)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +30,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+        k AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM g),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) < doc_id AS hit FROM k),
+        c AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range(0, 13) t(j) WHERE hit),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+        r AS (SELECT p.doc_id, p.word, p.i, c.i IS NOT NULL AS gone FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i),
+        s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM w LEFT JOIN s USING (doc_id)""",
     "op2_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
