@@ -10,6 +10,7 @@ from .common import read_table
 from .lines import line_digest
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality_gam import quality_scores
 from .substring import substring_digest
 
 
@@ -25,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
