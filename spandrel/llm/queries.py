@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .lines import line_digest
+from .mixing import Target, mixed_counts
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_gam import quality_scores
 from .substring import substring_digest
 
 
+#: Weights of at least 0.97 of the greatest entropy, at most four passes over a source, as many tokens as there are.
+MIXTURE = Target(entropy=0.97, repetitions=4.0, budget=1.0, seed=7)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(read_table(spark, sf_dir, "documents"), width=13)
 
@@ -22,6 +27,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_counts(read_table(spark, sf_dir, "documents"), MIXTURE)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -71,6 +81,39 @@ ORACLES: dict[str, str] = {
         r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
         m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
+    "op3_source_mixing": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, coalesce(source, '') AS source, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+        t AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS docs FROM d GROUP BY source),
+        p AS (SELECT source, tokens, docs, tokens / (SELECT CAST(sum(tokens) AS DOUBLE) FROM t) AS p FROM t WHERE tokens > 0),
+        e(i, a, b) AS (  -- the smallest k in a..b with too little entropy
+          SELECT 0, 0, 1048576
+          UNION ALL
+          SELECT i + 1, CASE WHEN yes THEN a ELSE m + 1 END, CASE WHEN yes THEN m ELSE b END
+          FROM (SELECT i, a, b, m, ln(z) - m / 1048576.0 * s / z < 0.97 * ln(n) - 1e-9 AS yes
+                FROM (SELECT i, a, b, (a + b) // 2 AS m, (SELECT count(*) FROM p) AS n, (SELECT sum(pow(p, ((a + b) // 2) / 1048576.0)) FROM p) AS z,
+                             (SELECT sum(pow(p, ((a + b) // 2) / 1048576.0) * ln(p)) FROM p) AS s FROM e WHERE a < b))),
+        q(i, a, b) AS (  -- the smallest k in a..b with few enough passes
+          SELECT 0, 0, 1048576
+          UNION ALL
+          SELECT i + 1, CASE WHEN yes THEN a ELSE m + 1 END, CASE WHEN yes THEN m ELSE b END
+          FROM (SELECT i, a, b, m, pow((SELECT min(p) FROM p), m / 1048576.0 - 1) / (SELECT sum(pow(p, m / 1048576.0)) FROM p) <= 4 + 1e-9 AS yes
+                FROM (SELECT i, a, b, (a + b) // 2 AS m FROM q WHERE a < b))),
+        even AS (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) < 0.97 * ln(count(*)) - 1e-9 AS low FROM p),
+        x AS (SELECT greatest(CASE WHEN a = 1048576 AND NOT low THEN a ELSE greatest(0, a - 1) END, (SELECT a FROM q ORDER BY i DESC LIMIT 1)) / 1048576.0 AS x
+              FROM (SELECT a FROM e ORDER BY i DESC LIMIT 1), even),
+        w AS (SELECT source, tokens, CAST(ceil(sqrt(docs)) AS BIGINT) AS blocks,
+                     CAST(floor(pow(p, x) / (SELECT sum(pow(p, x)) FROM p, x) * (SELECT CAST(sum(tokens) AS DOUBLE) FROM t) + 1e-6) AS BIGINT) AS budget_tokens FROM p, x),
+        r AS (SELECT *, budget_tokens // tokens AS passes, budget_tokens % tokens AS rest FROM w),
+        k AS (SELECT d.*, r.rest, CAST('0x' || substr(key, 1, 8) AS BIGINT) % r.blocks AS block FROM d JOIN r USING (source)),
+        b AS (SELECT source, block, rest, md5('7|' || source || '|' || block) AS block_key, sum(n_tokens) AS n FROM k GROUP BY ALL),
+        c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY block_key, block) AS run FROM b),
+        y AS (SELECT k.doc_id, k.source, k.key, run <= c.rest OR (run - n <= c.rest AND
+                     run - n + sum(n_tokens) OVER (PARTITION BY k.source, k.block ORDER BY k.key) <= c.rest) AS inside
+              FROM k JOIN c ON c.source = k.source AND c.block = k.block)
+        SELECT d.doc_id, d.source, d.n_tokens, r.budget_tokens, CAST(CASE WHEN r.passes IS NULL THEN 1 ELSE r.passes + CASE WHEN y.inside THEN 1 ELSE 0 END END AS INTEGER) AS copies
+        FROM d LEFT JOIN r USING (source) LEFT JOIN (SELECT DISTINCT * FROM y) y ON y.doc_id IS NOT DISTINCT FROM d.doc_id AND y.source = d.source""",
     "op4_line_dedup": r"""
         WITH l AS (
           SELECT d.doc_id, t.i, t.line, regexp_replace(t.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
