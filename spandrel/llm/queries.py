@@ -12,6 +12,7 @@ from .mixing import Target, mixed_counts
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_gam import quality_scores
+from .quality_rules import quality_verdicts
 from .substring import substring_digest
 
 
@@ -35,6 +36,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
