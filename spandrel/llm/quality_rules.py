@@ -99,7 +99,8 @@ def _gain(p: float, n: float, all_p: float, all_n: float) -> float:
 def _grow(rows: DataFrame, cuts: dict[str, list[float]], tests: list[Test]) -> Test | None:
     """The threshold that gains most for a rule so far, from one histogram of all features' bins."""
     inside = rows.filter(rule_sql(tuple(tests))) if tests else rows
-    bins = F.array(*(F.struct(F.lit(f).alias("f"), sum((F.expr(RATIOS[f]) > c).cast("int") for c in cut).alias("bin")) for f, cut in cuts.items() if cut))
+    over = lambda f, cut: F.size(F.filter(F.array(*map(F.lit, cut)), lambda c: F.expr(RATIOS[f]) > c))
+    bins = F.array(*(F.struct(F.lit(f).alias("f"), over(f, cut).alias("bin")) for f, cut in cuts.items() if cut))
     counts: dict[str, dict[int, list[int]]] = {}
     for f, b, y, n in inside.select("y", F.explode(bins).alias("e")).groupBy("e.f", "e.bin", "y").count().collect():
         counts.setdefault(f, {}).setdefault(b, [0, 0])[y] = n
