@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .lines import line_digest
+from .media_flac import media_digest
 from .mixing import Target, mixed_counts
 from .near_dup import near_duplicates
 from .packing import pack
@@ -49,6 +50,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_token_counts": op8_token_counts,
+    "op9_flac_media": op9_flac_media,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
