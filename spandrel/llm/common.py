@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, and 0x09 to 0x0D.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 #: Most bytes of one Arrow batch sent to a Python worker, so that very long texts do not make a batch unbounded.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,29 @@ def text_bytes(column: str = "text"):
     return F.col(column).cast("binary")
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Compressed bytes that know their own length, for what must be shuffled."""
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def expand(blob: bytes) -> bytes:
+    return _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
+def slices(texts: list[bytes | None], most: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of texts of about `most` bytes (a longer text stands alone); at least one, maybe empty, range."""
+    out, begin, total = [], 0, 0
+    for i, text in enumerate(texts):
+        total += len(text or b"") + 1
+        if total >= most:
+            out.append((begin, i + 1))
+            begin, total = i + 1, 0
+    return out + [(begin, len(texts))] if begin < len(texts) or not out else out
+
+
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(0, 1 << 61)) * 8 + 5

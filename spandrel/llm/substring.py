@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, mix, partitions, text_bytes
+from .common import Words, bounded_batches, expand, mix, partitions, slices, squeeze, text_bytes
 
 MER = 3
 #: Buckets for each shuffle partition: a task sorts one bucket at a time.
 BUCKETS = 4
 #: One document in this many is looked at for frequent minimisers, and at most so many are dealt by window.
 SAMPLE, MOST_HOT = 64, 4096
+#: Bytes of text scanned at once.
+SCAN_BYTES = 2 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,33 +75,52 @@ def super_kmers(scan: Words, width: int, hot: np.ndarray) -> tuple[np.ndarray, n
     return begins[real], counts[real], low[begins[real]]
 
 
-def _pack(strings: list[bytes], entries: np.ndarray, docs: np.ndarray, flags: np.ndarray) -> bytes:
-    """entries: (string, document, first word) as int32; docs: (doc_id, checksum); flags: (document, from, to)."""
-    body = b"\n".join(strings)
-    head = np.array([len(body), len(strings), len(entries), len(docs), len(flags)], np.int64).tobytes()
-    raw = head + entries.astype(np.int32).tobytes() + docs.astype(np.int64).tobytes() + flags.astype(np.int32).tobytes() + body
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+def _deltas(rows: np.ndarray, kind) -> bytes:
+    return np.ascontiguousarray(np.diff(rows, axis=0, prepend=0).T.astype(kind)).tobytes()
+
+
+def _pack(strings: list[bytes], entries: np.ndarray, ids: np.ndarray, marks: np.ndarray, flags: np.ndarray) -> bytes:
+    """entries: (string, document, first word); ids, marks: doc_id and checksum by document; flags: (document, from, to).
+    Strings go in sorted order and numbers as differences, which compress well."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    place = np.empty(len(strings), np.int64)
+    place[order] = np.arange(len(strings))
+    entries[:, 0] = place[entries[:, 0]] if len(entries) else entries[:, 0]
+    entries = entries[np.lexsort((entries[:, 2], entries[:, 1], entries[:, 0]))]
+    head = np.array([len(strings), len(entries), len(ids), len(flags)], np.int64).tobytes()
+    body = b"\n".join([strings[i] for i in order])
+    return squeeze(head + _deltas(entries, np.int32) + _deltas(ids[:, None], np.int64) + marks.astype(np.uint32).tobytes() + _deltas(flags, np.int32) + body)
 
 
 def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), "zstd", asbytes=True)
-    size, n, e, d, f = np.frombuffer(raw, np.int64, 5).tolist()
-    at = 40
-    entries = np.frombuffer(raw, np.int32, 3 * e, at).reshape(-1, 3)
-    docs = np.frombuffer(raw, np.int64, 2 * d, at := at + 12 * e).reshape(-1, 2)
-    flags = np.frombuffer(raw, np.int32, 3 * f, at := at + 16 * d).reshape(-1, 3)
-    return raw[at + 12 * f :].split(b"\n") if n else [], entries, docs, flags
+    raw = expand(blob)
+    n, e, d, f = np.frombuffer(raw, np.int64, 4).tolist()
+    at = 32
+    entries = np.frombuffer(raw, np.int32, 3 * e, at).reshape(3, -1).cumsum(1, dtype=np.int64).T
+    ids = np.frombuffer(raw, np.int64, d, at := at + 12 * e).cumsum()
+    marks = np.frombuffer(raw, np.uint32, d, at := at + 8 * d).astype(np.int64)
+    flags = np.frombuffer(raw, np.int32, 3 * f, at := at + 4 * d).reshape(3, -1).cumsum(1, dtype=np.int64).T
+    return raw[at + 12 * f :].split(b"\n") if n else [], entries, np.stack((ids, marks), 1), flags
 
 
 def _ship(ids: np.ndarray, marks: np.ndarray, texts: list[bytes | None], width: int, hot: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
     """The blobs of one batch, by bucket. Rows are in ascending order of doc_id."""
-    scan = Words(texts, plain=True)
-    begin, count, low = super_kmers(scan, width, hot)
-    bucket = (mix(low) % np.uint64(n_buckets)).astype(np.int64)
-    row = scan.doc[begin]
-    start = (begin - scan.first[row]).tolist()
-    left, right = scan.at[begin].tolist(), (scan.at[begin + count + width - 1] - 1).tolist()
-    ids_of, plain = ids[row].tolist(), scan.plain
+    found: list[tuple[np.ndarray, ...]] = []
+    texts_at = 0
+    joined: list[bytes] = []
+    for a, b in slices(texts, SCAN_BYTES):  # the scan's arrays are many times its text, what is kept of them is not
+        scan = Words(texts[a:b], plain=True)
+        begin, count, low = super_kmers(scan, width, hot)
+        row = scan.doc[begin]
+        ends = scan.at[begin + count + width - 1] - 1
+        found.append((row + a, begin - scan.first[row], count, scan.at[begin] + texts_at, ends + texts_at, (mix(low) % np.uint64(n_buckets)).astype(np.int64)))
+        joined.append(scan.plain)
+        texts_at += len(scan.plain)
+    row, start, count, left, right, bucket = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 6
+    plain = b"".join(joined)
+    del found, joined
+    start, left, right = start.tolist(), left.tolist(), right.tolist()
+    ids_of = ids[row].tolist()
     order = np.argsort(bucket, kind="stable")
     edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
     rows, counts = row.tolist(), count.tolist()
@@ -119,7 +140,7 @@ def _ship(ids: np.ndarray, marks: np.ndarray, texts: list[bytes | None], width:
         entries_, flags_ = (np.array(x, np.int64).reshape(-1, 3) for x in (entries, flags))
         used, own = np.unique(np.concatenate((entries_[:, 1], flags_[:, 0])), return_inverse=True)
         entries_[:, 1], flags_[:, 0] = own[: len(entries_)], own[len(entries_) :]
-        yield int(bucket[order[a]]), _pack(list(strings), entries_, np.stack((ids[used], marks[used]), 1), flags_)
+        yield int(bucket[order[a]]), _pack(list(strings), entries_, ids[used], marks[used], flags_)
 
 
 def _windows_first(scan: Words, begins: np.ndarray, width: int, doc: np.ndarray) -> np.ndarray:
@@ -161,8 +182,8 @@ def _bucket(blobs: list[bytes], width: int) -> tuple[list, list, list]:
     shift_s = np.cumsum([0] + [len(p[0]) for p in parts])
     shift_d = np.cumsum([0] + [len(p[2]) for p in parts])
     docs = np.concatenate([p[2] for p in parts])
-    entries = np.concatenate([p[1].astype(np.int64) + [s, d, 0] for p, s, d in zip(parts, shift_s, shift_d, strict=False)])
-    flags = np.concatenate([p[3].astype(np.int64) + [d, 0, 0] for p, d in zip(parts, shift_d, strict=False)])
+    entries = np.concatenate([p[1] + [s, d, 0] for p, s, d in zip(parts, shift_s, shift_d, strict=False)])
+    flags = np.concatenate([p[3] + [d, 0, 0] for p, d in zip(parts, shift_d, strict=False)])
     doc, mark = [docs[flags[:, 0], 0]], [docs[flags[:, 0], 1]]
     low, high = [flags[:, 1]], [flags[:, 2]]
     if strings:
@@ -199,7 +220,9 @@ def _frequent(docs: DataFrame, width: int, n_buckets: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, n = np.unique(super_kmers(Words(batch.column(0).to_pylist()), width, none)[2], return_counts=True)
+            texts = batch.column(0).to_pylist()
+            found = [super_kmers(Words(texts[a:b]), width, none)[2] for a, b in slices(texts, SCAN_BYTES)]
+            low, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n, pa.int64())], ["low", "n"])
 
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(text_bytes())
@@ -245,28 +268,36 @@ def removed_words(text: bytes | None, ranges: list[bytes] | None) -> tuple[list[
     return words, np.cumsum(cover)[:-1] > 0
 
 
-def _joined(docs: DataFrame, width: int) -> DataFrame:
-    marked = docs.withColumn("_text", text_bytes()).withColumn("_mark", F.crc32(F.coalesce(F.col("_text"), F.lit(b""))))
-    ranges = repeated_ranges(docs, width).withColumnsRenamed({"doc_id": "_doc", "mark": "_of", "ranges": "_ranges"})
-    return marked.join(ranges, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_mark") == F.col("_of")), "left").drop("_doc", "_of", "_mark")
+def _joined(marked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """`marked`: documents with _doc and _mark. Adds _ranges."""
+    ranges = repeated_ranges(docs, width).withColumnsRenamed({"doc_id": "_of", "mark": "_as", "ranges": "_ranges"})
+    return marked.join(ranges, (F.col("_doc") == F.col("_of")) & (F.col("_mark") == F.col("_as")), "left").drop("_of", "_as", "_mark")
 
 
 def substring_digest(docs: DataFrame, width: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space, of every document."""
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space, of every document. Texts travel
+    to their ranges compressed."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([_checksum(t) for t in texts], pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_doc", "_mark", "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, digest = [], [], []
             for text, ranges in zip(batch.column("_text"), batch.column("_ranges"), strict=True):
-                words, cover = removed_words(text.as_py(), ranges.as_py())
+                words, cover = removed_words(expand(text.as_py()), ranges.as_py())
                 n.append(len(words))
                 gone.append(int(cover.sum()))
                 kept = words if not gone[-1] else [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(rows, width).select("doc_id", "_text", "_ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(packed, "_doc long, _mark long, _text binary")
+    return _joined(rows, docs, width).select("_doc", "_text", "_ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -281,4 +312,5 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
                 texts.append(b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c).decode("utf-8", "replace") if cover.any() else old.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return _joined(docs, width).mapInArrow(run, docs.schema)
+    marked = docs.withColumn("_text", text_bytes()).withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_mark", F.crc32(F.coalesce(F.col("_text"), F.lit(b""))))
+    return _joined(marked, docs, width).mapInArrow(run, docs.schema)
