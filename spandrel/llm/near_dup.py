@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, discard, mix, store, text_bytes
+from .common import Words, bounded_batches, discard, expand, mix, squeeze, store, text_bytes
 from .components import components
 
 BANDS, ROWS = 48, 6
@@ -164,17 +164,23 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def _members(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the classes that have candidates: node, cluster, n, shingles (uint64)."""
+    """The shingle sets of the classes that have candidates: node, cluster, n, shingles (uint64). Texts travel compressed
+    to the candidates, which are the side that is hashed: no text is sorted, and at any size the plan is the same."""
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [squeeze(t or b"") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["node", "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("_text").to_pylist(), words)
+            sets = shingle_sets([expand(t) for t in batch.column("_text").to_pylist()], words)
             columns = [batch.column("node"), batch.column("root"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "n", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes()).mapInArrow(squeezed, "node long, _text binary")
     all_ = clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    return rows.join(all_, "node").select("node", "root", "_text").mapInArrow(run, "node long, cluster long, n long, shingles binary").filter("n > 0")
+    return rows.join(all_.hint("shuffle_hash"), "node").select("node", "root", "_text").mapInArrow(run, "node long, cluster long, n long, shingles binary").filter("n > 0")
 
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:
