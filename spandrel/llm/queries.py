@@ -14,6 +14,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .quality_gam import quality_scores
 from .quality_rules import quality_verdicts
+from .secrets import secret_digest
 from .substring import substring_digest
 from .token_counts import token_counts
 
@@ -46,6 +47,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), limit=4096)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
     "op9_flac_media": op9_flac_media,
     "op10_best_fit_packing": op10_best_fit_packing,
