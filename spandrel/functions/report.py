@@ -53,14 +53,14 @@ def frame_path(path: Column, directory: Column | None = None, suffix: str = SUFF
     a.txt and a.csv share a name there, which the writer reports)."""
     if directory is None:
         return F.concat(path, F.lit(suffix))
-    return F.concat(F.regexp_replace(directory, "/*$", "/"), _stem(_name(path)), F.lit(suffix))
+    return F.concat(F.regexp_replace(directory, "^(.*?)/*$", "$1/"), _stem(_name(path)), F.lit(suffix))
 
 
 def restored_path(path: Column, directory: Column | None = None, suffix: str = SUFFIX) -> Column:
     """Where a frame's content goes: the suffix is stripped, or else the last extension."""
     name = _name(path)
     bare = F.when(name.endswith(suffix) & (F.length(name) > len(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(_stem(name))
-    return F.concat(_folder(path) if directory is None else F.regexp_replace(directory, "/*$", "/"), bare)
+    return F.concat(_folder(path) if directory is None else F.regexp_replace(directory, "^(.*?)/*$", "$1/"), bare)
 
 
 # Error kinds by family, which decides the exit code.

@@ -54,11 +54,12 @@ def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Whole files: path, data, mtime, permissions, error_kind, error_message; a wrong path is a row with an error."""
     known = listing(spark, paths)
-    good = [p for p in paths if os.path.isfile(p)]  # `binaryFile` fails on a path that is not there
+    good = [os.path.abspath(p) for p in paths if os.path.isfile(p)]  # `binaryFile` fails on a path that is not there
     empty = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.format("binaryFile").load(good) if good else spark.createDataFrame([], empty)
     content = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_path"), F.col("content").alias("data"))
-    absolute = known.withColumn("_path", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(os.getcwd() + "/"), F.col("path"))))
+    names = spark.createDataFrame([(p, os.path.abspath(p)) for p in dict.fromkeys(paths)], "path string, _path string")
+    absolute = known.join(names, "path")
     return absolute.join(content, "_path", "left").select("path", "data", "mtime", "permissions", "error_kind", "error_message")
 
 
