@@ -30,11 +30,11 @@ from .common import Words, bounded_batches, expand, mix, partitions, slices, squ
 
 MER = 3
 #: Buckets for each shuffle partition: a task sorts one bucket at a time.
-BUCKETS = 4
+BUCKETS = 6
 #: One document in this many is looked at for frequent minimisers, and at most so many are dealt by window.
 SAMPLE, MOST_HOT = 64, 4096
-#: Bytes of text scanned at once.
-SCAN_BYTES = 2 << 20
+#: Bytes of text scanned, and shipped, at once.
+SCAN_BYTES, SHIP_BYTES = 2 << 20, 8 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,7 +244,8 @@ def repeated_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
             texts = batch.column(1).to_pylist()
             texts = [texts[i] for i in order]
             marks = np.array([_checksum(t) for t in texts], np.int64)
-            made = list(_ship(ids[order], marks, texts, width, hot, n_buckets))
+            ids = ids[order]
+            made = [x for a, b in slices(texts, SHIP_BYTES) for x in _ship(ids[a:b], marks[a:b], texts[a:b], width, hot, n_buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], ["bucket", "blob"])
 
     def sort(table: pa.Table) -> pa.Table:
