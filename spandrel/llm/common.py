@@ -6,8 +6,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words: space, and 0x09 to 0x0D.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
@@ -37,6 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def boxed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """`row`, the columns of `docs` as one struct, beside columns of our own, whose names then cannot clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in extra.items()))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `docs` out of `row`, some of them replaced."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def box_schema(docs: DataFrame, extra: str) -> T.StructType:
+    """The schema of `row` and extra columns."""
+    return T.StructType([T.StructField("row", docs.schema), *T._parse_datatype_string(extra).fields])
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write `df` as a Parquet table in the shared folder and read it back. Survives lost executors."""
     spark = df.sparkSession

@@ -20,9 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD_SPACE, bounded_batches, mix, partitions, store, text_bytes
+from .common import WORD_SPACE, bounded_batches, box_schema, boxed, mix, partitions, store, text_bytes, unboxed
 
 #: An index of more bytes is not broadcast: the probes travel to the shards instead.
 BROADCAST_BYTES = 48 << 20
@@ -184,14 +183,13 @@ def _probe_batch(shards: dict[int, Shard], n_shards: int, docs: list[int], found
     return [x[d] for x, d in zip(np.split(at, ends[:-1]), np.split(drop, ends[:-1]), strict=True)] if len(found) else []
 
 
-def _rows(batch: pa.RecordBatch, names: list[str], results: list[tuple[int, int, bytes]], digest: bool) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, results: list[tuple[int, int, bytes]], digest: bool) -> pa.RecordBatch:
     n, dropped, kept = (list(x) for x in zip(*results, strict=True)) if results else ([], [], [])
     if digest:
         made = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
         return pa.RecordBatch.from_arrays(made, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
     texts = [x.decode("utf-8", "replace") for x in kept]
-    new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
-    return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "kept", "chars"])
 
 
 DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
@@ -199,16 +197,15 @@ DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 def _broadcast_pass(docs: DataFrame, index: DataFrame, least: int, digest: bool, n_shards: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast([tuple(map(lambda x: bytes(x) if isinstance(x, (bytes, bytearray)) else x, r)) for r in index.collect()])
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {r[0]: Shard.load(*r[1:]) for r in held.value}
         for batch in batches:
             found = [line_keys(t.as_py(), least) for t in batch.column("_bytes")]
             drops = _probe_batch(shards, n_shards, _ids(batch.column("doc_id")), found)
-            yield _rows(batch, names, [_kept(lines, gone) for (lines, _, _), gone in zip(found, drops, strict=True)], digest)
+            yield _rows(batch, [_kept(lines, gone) for (lines, _, _), gone in zip(found, drops, strict=True)], digest)
 
-    return _input(docs, digest).mapInArrow(run, DIGEST if digest else docs.schema)
+    return _output(docs, _input(docs, digest).mapInArrow(run, DIGEST if digest else box_schema(docs, KEPT)), digest)
 
 
 def _kept(lines: list[bytes], gone) -> tuple[int, int, bytes]:
@@ -216,16 +213,21 @@ def _kept(lines: list[bytes], gone) -> tuple[int, int, bytes]:
     return len(lines), len(out), b"\n".join(lines if not out else [x for i, x in enumerate(lines) if i not in out])
 
 
+KEPT = "kept string, chars long"
+
+
 def _input(docs: DataFrame, digest: bool) -> DataFrame:
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_bytes")) if digest else docs.withColumn("_bytes", text_bytes())
-    return taken
+    rows = boxed(docs, doc_id=F.col("doc_id").cast("long"), _bytes=text_bytes())
+    return rows.drop("row") if digest else rows
+
+
+def _output(docs: DataFrame, rows: DataFrame, digest: bool) -> DataFrame:
+    return rows if digest else unboxed(rows, docs, text=F.col("kept"), n_chars=F.col("chars"))
 
 
 def _routed_pass(docs: DataFrame, index: DataFrame, least: int, digest: bool, n_shards: int, salts: int = 8) -> DataFrame:
     """Beyond the broadcast bound: hashes travel to their shard (each shard stands `salts` times, so that a hot line's
     probes are dealt over that many tasks) and the positions to drop come back to the document."""
-    tag = F.crc32(F.coalesce(text_bytes(), F.lit(b"")))
-
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = _ids(batch.column("doc_id")), []
@@ -244,20 +246,19 @@ def _routed_pass(docs: DataFrame, index: DataFrame, least: int, digest: bool, n_
             keep = own.drops(*(lines.column(c).to_numpy().view(np.uint64) for c in ("key", "print")), lines.column("doc").to_numpy())
         return lines.select(["doc", "mark", "at"]).filter(pa.array(keep))
 
-    marked = _input(docs, digest).withColumn("mark", tag if digest is False else F.crc32(F.coalesce(F.col("_bytes"), F.lit(b""))))
+    marked = _input(docs, digest).withColumn("mark", F.crc32(F.coalesce(F.col("_bytes"), F.lit(b""))))
     lines = marked.select("doc_id", "mark", "_bytes").mapInArrow(probes, "shard int, salt int, key long, print long, doc long, mark long, at long")
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     gone = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "doc long, mark long, at long")
     gone = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("_gone")).withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
-    both = marked.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)) == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
-    names = docs.columns
+    both = marked.join(gone, (F.coalesce("doc_id", F.lit(NO_DOC)) == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [_kept((t.as_py() or b"").split(b"\n"), g.as_py() or []) for t, g in zip(batch.column("_bytes"), batch.column("_gone"), strict=True)]
-            yield _rows(batch, names, out, digest)
+            yield _rows(batch, out, digest)
 
-    return both.mapInArrow(finish, DIGEST if digest else docs.schema)
+    return _output(docs, both.mapInArrow(finish, DIGEST if digest else box_schema(docs, KEPT)), digest)
 
 
 def _run(docs: DataFrame, least: int, documents: int, broadcast_bytes: int, digest: bool) -> DataFrame:
@@ -270,8 +271,6 @@ def _run(docs: DataFrame, least: int, documents: int, broadcast_bytes: int, dige
 
 def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Documents with repeated lines removed from `text` (and `n_chars`, where there is one, brought up to date)."""
-    fields = {f.name: f.dataType for f in docs.schema}
-    docs = docs if fields.get("n_chars", T.LongType()) == T.LongType() else docs.withColumn("n_chars", F.col("n_chars").cast("long"))
     return _run(docs, least, documents, broadcast_bytes, False)
 
 

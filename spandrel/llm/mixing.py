@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import boxed, store, unboxed
 
 #: The exponent is a multiple of 2 ** -STEPS, and a job tries LEVEL levels of the bisection at once.
 STEPS, LEVEL = 20, 4
@@ -133,9 +133,11 @@ def plan(documents: DataFrame, target: Target) -> DataFrame:
     return store(rows.join(ends, "source", "left").drop("rest"), "mixing-plan")
 
 
-def _copies(seed: int) -> Column:
-    block_key = _key(seed, F.col("source"), _block(F.col("blocks")))
-    inside = (block_key < F.col("last_block")) | ((block_key == F.col("last_block")) & (F.col("key") <= F.col("last_key")))
+def _copies(key: Column, source: Column, seed: int) -> Column:
+    """How often a document is taken, from its hash and its source's row of the plan."""
+    block = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("blocks")
+    block_key = _key(seed, source, block)
+    inside = (block_key < F.col("last_block")) | ((block_key == F.col("last_block")) & (key <= F.col("last_key")))
     return F.when(F.col("passes").isNull(), F.lit(1)).otherwise(F.col("passes") + F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)).cast("int")
 
 
@@ -143,18 +145,11 @@ def mixed_counts(docs: DataFrame, target: Target) -> DataFrame:
     """doc_id, source, n_tokens, budget_tokens (of the source; null without tokens) and copies of every document."""
     documents = store(sized(docs, target.seed), "sized")
     rows = documents.join(plan(documents, target), "source", "left")
-    return rows.select("doc_id", "source", "n_tokens", "budget_tokens", _copies(target.seed).alias("copies"))
+    return rows.select("doc_id", "source", "n_tokens", "budget_tokens", _copies(F.col("key"), F.col("source"), target.seed).alias("copies"))
 
 
 def mix(docs: DataFrame, target: Target) -> DataFrame:
     """The mixture itself: every document as often as its copies say; columns as they came."""
-    rows = plan(store(sized(docs, target.seed), "sized"), target).withColumnRenamed("source", "_source")
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    marked = docs.alias("d").select(*own, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
-    both = marked.join(rows.select("_source", *(F.col(c).alias(f"_{c}") for c in ("passes", "blocks", "last_block", "last_key"))), "_source", "left")
-    key = _key(target.seed, F.col("_id"))
-    block = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("_blocks")
-    block_key = _key(target.seed, F.col("_source"), block)
-    inside = (block_key < F.col("_last_block")) | ((block_key == F.col("_last_block")) & (key <= F.col("_last_key")))
-    copies = F.when(F.col("_passes").isNull(), F.lit(1)).otherwise(F.col("_passes") + F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)).cast("int")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    marked = boxed(docs, source=F.coalesce(F.col("source").cast("string"), F.lit("")), key=_key(target.seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = marked.join(plan(store(sized(docs, target.seed), "sized"), target), "source", "left")
+    return unboxed(rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), _copies(F.col("key"), F.col("source"), target.seed)))), docs)

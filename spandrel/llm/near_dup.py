@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, discard, expand, mix, squeeze, store, text_bytes
+from .common import Words, bounded_batches, boxed, discard, expand, mix, squeeze, store, text_bytes, unboxed
 from .components import components
 
 BANDS, ROWS = 48, 6
@@ -221,5 +221,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents less all but one (the smallest doc_id) of each component; columns as they came."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = boxed(docs, own=F.col("doc_id").cast("long"))
+    return unboxed(rows.join(gone, F.col("own") == F.col("gone"), "left_anti"), docs)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, text_bytes
+from .common import Words, bounded_batches, box_schema, boxed, text_bytes, unboxed
 
 #: Bound of the labelled sample a model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -207,26 +207,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds `score` (double) to the documents; all columns pass through."""
-    names = docs.columns
+    """`row`, the document, and its `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables only: a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = shared.value.score(features(batch.column("_bytes").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made)], ["row", "score"])
 
     bounded_batches(docs.sparkSession)
-    schema = docs.withColumn("_score", F.lit(0.0).cast("double")).schema
-    return docs.withColumn("_bytes", text_bytes()).mapInArrow(run, schema)
+    return boxed(docs, _bytes=text_bytes()).mapInArrow(run, box_schema(docs, "score double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = score(rows, train(rows, labels)).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject; columns as they came."""
-    return score(docs, train(docs, labels)).filter(F.col("_score") >= threshold).drop("_score")
+    return unboxed(score(docs, train(docs, labels)).filter(F.col("score") >= threshold), docs)

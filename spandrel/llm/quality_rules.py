@@ -41,6 +41,12 @@ RATIOS = {
 }
 
 
+def _fenced(value: Column) -> Column:
+    """The same value, as an expression that the optimiser moves no filter through: a caller's filter would take the
+    arrays' definitions along into the lambdas that read them, and build them once for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """Adds the statistics of `_text` to `docs`. All arrays live in one row's projection; the text is never exploded.
 
@@ -57,7 +63,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     same = "shiftright({0}, _b) = shiftright({1}, _b) AND get(_g, cast({0} & (shiftleft(1L, _b) - 1) as int)) = get(_g, cast({1} & (shiftleft(1L, _b) - 1) as int))"
     # a window's position where it equals a neighbour, else -1
     rows = rows.withColumn("_p", F.expr(f"sort_array(transform(filter(_s, (x, k) -> (k > 0 AND {same.format('x', 'get(_s, k - 1)')}) OR (k + 1 < size(_s) AND {same.format('x', 'get(_s, k + 1)')})), x -> x & (shiftleft(1L, _b) - 1)))"))
-    rows = rows.withColumn("n_repeat_words", F.expr("cast(aggregate(_p, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n) as long)"))
+    covered = F.expr("cast(aggregate(_p, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n) as long)")
+    rows = rows.withColumn("n_repeat_words", _fenced(covered))
     rows = rows.withColumn("word_chars", F.length(F.concat_ws("", "_w")).cast("long"))
     rows = rows.withColumn("n_symbols", F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"))
     rows = rows.withColumn("_l", F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
@@ -136,7 +143,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
     steps = {f: sorted(set(found[f] or [])) for f in RATIOS}
     cuts = {f: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for f, x in steps.items()}  # between what occurs
     rules: list[Rule] = []
-    while len(rules) < MOST_RULES:
+    while len(rules) < MOST_RULES and any(cuts.values()):
         tests: list[Test] = []
         while len(tests) < MOST_TESTS and (test := _grow(rows.filter("NOT pruning"), cuts, tests)) and test not in tests:
             tests.append(test)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, expand, mix, partitions, slices, squeeze, text_bytes
+from .common import Words, bounded_batches, box_schema, boxed, expand, mix, partitions, slices, squeeze, text_bytes, unboxed
 
 MER = 3
 #: Buckets for each shuffle partition: a task sorts one bucket at a time.
@@ -303,15 +303,15 @@ def substring_digest(docs: DataFrame, width: int = 13) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     """Documents whose text keeps only the words that repeat nothing; a text that repeats nothing stays as it is."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for old, text, ranges in zip(batch.column("text"), batch.column("_text"), batch.column("_ranges"), strict=True):
+            for text, ranges in zip(batch.column("_text"), batch.column("_ranges"), strict=True):
                 words, cover = removed_words(text.as_py(), ranges.as_py())
-                texts.append(b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c).decode("utf-8", "replace") if cover.any() else old.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+                texts.append(b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c).decode("utf-8", "replace") if cover.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
 
-    marked = docs.withColumn("_text", text_bytes()).withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_mark", F.crc32(F.coalesce(F.col("_text"), F.lit(b""))))
-    return _joined(marked, docs, width).mapInArrow(run, docs.schema)
+    marked = boxed(docs, _text=text_bytes(), _doc=F.col("doc_id").cast("long")).withColumn("_mark", F.crc32(F.coalesce(F.col("_text"), F.lit(b""))))
+    rows = _joined(marked, docs, width).select("row", "_text", "_ranges").mapInArrow(run, box_schema(docs, "kept string"))
+    return unboxed(rows, docs, text=F.coalesce("kept", "row.text"))
