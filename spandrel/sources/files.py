@@ -21,11 +21,11 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 STAT = "path string, length long, mtime long, permissions long, error_kind string, error_message string"
 
 
-def stat(path: str) -> tuple:
+def stat(path: str, absolute: str) -> tuple:
     """(path, length, mtime in seconds, mode, error kind and message) of a path that should be a file with content."""
     wrong = lambda text: (path, None, None, None, "InvalidInput", text)
     try:
-        found = os.stat(path)
+        found = os.stat(absolute)
     except FileNotFoundError:
         return wrong(f"Input file does not exist: {path}")
     except OSError as e:
@@ -39,13 +39,13 @@ def stat(path: str) -> tuple:
 
 def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A row for each path, with its attributes or what is wrong with it. Paths are of a file system that all share."""
-    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = spark.createDataFrame([(p, os.path.abspath(p)) for p in paths], "path string, absolute string")  # workers have a folder of their own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["path", "length", "mtime", "permissions", "error_kind", "error_message"]
         for batch in batches:
-            found = list(zip(*map(stat, batch.column(0).to_pylist()), strict=True)) or [()] * 6
+            found = list(zip(*map(stat, batch.column(0).to_pylist(), batch.column(1).to_pylist()), strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names)
 
     return rows.mapInArrow(run, STAT)
