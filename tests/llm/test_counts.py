@@ -122,7 +122,7 @@ def test_repeated_characters(pieces):
             assert token_counts.count_tokens(run, char * n) == len(pieces.encode(char * n))
 
 
-def test_a_small_table_of_states_counts_the_same(pieces, monkeypatch):
+def test_a_full_table_of_states_counts_the_same(pieces, monkeypatch):
     monkeypatch.setattr(token_counts, "MOST_STATES", 20)
     monkeypatch.setattr(token_counts, "MOST_WORDS", 5)
     run = token_counts.Transducer(token_counts.compiled().scores)
