@@ -29,19 +29,23 @@ from .common import bounded_batches, text_bytes
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 16
-#: States and counted words a worker keeps; beyond it starts afresh.
-MOST_STATES, MOST_WORDS = 200_000, 300_000
+#: States and counted words that a worker keeps.
+MOST_STATES, MOST_WORDS = 300_000, 600_000
 
 
-class State:
-    """`key`: the live suffix, and (size, last token, tokens relative to now) before each of its suffixes that some piece
-    starts with, longest first. `next`: by character the state that follows and the change in emitted tokens."""
+class State(dict):
+    """The transitions out of a state: by character the state that follows and the change in emitted tokens; a missing one
+    is compiled when first asked for. `key`: the live suffix, and (size, last token, tokens relative to now) before each
+    of its suffixes that some piece starts with, longest first."""
 
-    __slots__ = ("key", "next")
+    __slots__ = ("key", "run")
 
-    def __init__(self, key: tuple):
-        self.key = key
-        self.next: dict[str, tuple[State, int]] = {}
+    def __init__(self, key: tuple, run: Transducer):
+        super().__init__()
+        self.key, self.run = key, run
+
+    def __missing__(self, char: str) -> tuple[State, int]:
+        return self.run.step(self, char)
 
 
 class Transducer:
@@ -56,18 +60,15 @@ class Transducer:
         self.runs = [0, *(len(self.merge(SPACE * n)) for n in range(1, 2 * longest))]
         self.longest = longest
         self._fits: dict[tuple[str, str], bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
         self.states: dict[tuple, State] = {}
         self.start = self._state(("", ((0, None, 0),)))
+        self.spaced_start = self.start[SPACE] if SPACE in self.scores else None
         self.words: dict[str, int] = {}
-        self._fits.clear()
 
     def _state(self, key: tuple) -> State:
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = State(key)
+            found = self.states[key] = State(key, self)
         return found
 
     def merge(self, text: str) -> list[str]:
@@ -93,13 +94,13 @@ class Transducer:
         key = (before or "", token)
         found = self._fits.get(key)
         if found is None:
-            found = self._fits[key] = self.merge(key[0] + token) == ([before, token] if before else [token])
+            found = self.merge(key[0] + token) == ([before, token] if before else [token])
+            if len(self._fits) < 2 * MOST_STATES:
+                self._fits[key] = found
         return found
 
     def step(self, state: State, char: str) -> tuple[State, int]:
         """Compile one transition."""
-        if len(self.states) > MOST_STATES:
-            self.clear()
         suffix, past = state.key
         read = suffix + char
         end = len(read)
@@ -109,15 +110,22 @@ class Transducer:
                 break
         delta = tokens + 1
         live = [(n + 1, t, c - delta) for n, t, c in past if read[end - n - 1 :] in self.prefixes]
-        made = self._state((read[end - live[0][0] :] if live else "", (*live, (0, token, 0))))
-        state.next[char] = made, delta
+        key = read[end - live[0][0] :] if live else "", (*live, (0, token, 0))
+        if len(self.states) >= MOST_STATES and key not in self.states:
+            return State(key, self), delta  # the frequent states are there by now; a rare one is used and forgotten
+        made = self._state(key)
+        state[char] = made, delta
         return made, delta
 
     def count(self, text: str) -> int:
         """Tokens of a text of known characters that holds no space after its first character."""
-        state, total = self.start, 0
+        return self._walk(self.start, text)
+
+    @staticmethod
+    def _walk(state: State, text: str) -> int:
+        total = 0
         for char in text:
-            state, delta = state.next.get(char) or self.step(state, char)
+            state, delta = state[char]
             total += delta
         return total
 
@@ -125,7 +133,7 @@ class Transducer:
         """Whether the first token of such a text is a single space."""
         state, ends = self.start, []
         for char in text:
-            state, _ = state.next.get(char) or self.step(state, char)
+            state, _ = state[char]
             ends.append(len(state.key[1][-1][1]))
         at = len(ends)
         while at > 1 and at - ends[at - 1] > 0:
@@ -134,6 +142,9 @@ class Transducer:
 
     def word(self, word: str) -> int:
         """Tokens of a word and the space before it."""
+        if self.spaced_start is not None and self.known.issuperset(word):
+            first, before = self.spaced_start
+            return before + self._walk(first, word)
         total, part = 0, SPACE
         for char in word:
             if char in self.known:
