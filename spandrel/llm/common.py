@@ -50,23 +50,39 @@ def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
 
 def box_schema(docs: DataFrame, extra: str) -> T.StructType:
     """The schema of `row` and extra columns."""
-    return T.StructType([T.StructField("row", docs.schema), *T._parse_datatype_string(extra).fields])
+    return T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL(extra).fields])
+
+
+#: Tables that `store` wrote and nobody has deleted yet.
+STORED: set[str] = set()
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write `df` as a Parquet table in the shared folder and read it back. Survives lost executors."""
+    """Cut the lineage: write `df` as a Parquet table in the shared folder and read it back. Survives lost executors.
+    Results may read such tables until they are consumed; `cleanup` deletes all of them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    STORED.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `store` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+        STORED.difference_update({p for p in STORED if p.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]})
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table that this process stored. Call it when results have been written or collected."""
+    while STORED:
+        _delete(spark, STORED.pop())
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ whose bins explain most of what is left get two-dimensional tables the same way.
 entry per feature and pair, added up over whole batches at once.
 
 Labels come from `labels.quality` of at most about `SAMPLE_ROWS` labelled documents, chosen by a hash of doc_id, and
-never from held-out ones; lang, source and doc_id are not inputs. Counts and features cover whole texts.
+never from held-out ones; a doc_id on several rows teaches once, with its smallest text; lang, source and doc_id are not inputs. Counts and features cover whole texts.
 
 Defined results: a null or empty text has all features 0 and is scored like any other; a null doc_id is not held out;
 null labels, and labels whose document is missing, teach nothing; repeated rows are scored each; without labels of both
@@ -184,11 +184,12 @@ def held_out(doc_id="doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, y, text) of about `rows` labelled documents that are not held out, at most. The labels are thinned by a
     hash of doc_id before the join, so the side that is broadcast has that bound."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out())
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out()).distinct()
     total = known.count()
     if total > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a doc_id that many rows share teaches once
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:

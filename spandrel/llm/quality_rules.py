@@ -7,7 +7,7 @@ aggregates over binned statistics of a bounded labelled sample; the driver sees
 is an ordered CASE expression. Nothing on this path runs Python on the executors.
 
 Defined results: a null or wordless text has zeros and fails the base rules; a null label, or one whose document is
-missing, teaches nothing; without labels of both kinds the list is empty and the base rules decide alone; rows of one
+missing, teaches nothing, and a doc_id on several rows teaches once, with its smallest text; without labels of both kinds the list is empty and the base rules decide alone; rows of one
 doc_id, and a null doc_id, are judged each by their own text; an empty table gives an empty result.
 """
 
@@ -167,11 +167,12 @@ def verdict(rules: list[Rule]) -> Column:
 def labelled_statistics(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Statistics of about `rows` labelled documents at most. The labels are thinned by a hash of doc_id before the join,
     which bounds the side that is broadcast."""
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).filter("_id is not null and y in (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).filter("_id is not null and y in (0, 1)").distinct()
     total = known.count()
     if total > rows:
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
     some = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
+    some = some.groupBy("_id", "y").agg(F.min("_text").alias("_text"))  # a doc_id that many rows share teaches once
     made = statistics(some).withColumn("base_failed", base_failed()).withColumn("pruning", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(3)) == 0)
     return store(made.drop("_text"), "labelled-statistics")
 

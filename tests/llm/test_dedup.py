@@ -165,3 +165,22 @@ def test_words():
 def test_slices():
     assert slices([], 10) == [(0, 0)] and slices([b"a" * 5] * 5, 10) == [(0, 2), (2, 4), (4, 5)] and slices([b"a" * 50, None], 10) == [(0, 1), (1, 2)]
     assert expand(squeeze(b"")) == b"" and expand(squeeze(b"abc" * 1000)) == b"abc" * 1000
+
+
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    from spandrel.llm import common
+
+    common.cleanup(spark)
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
+    assert near_dup.near_duplicates(H.frame(spark, H.corpus(2, 20)), 2).count() == 30
+    assert common.STORED
+    common.cleanup(spark)
+    assert not common.STORED and set(os.listdir(common.shared_dir(spark).removeprefix("file://"))) <= before
+
+
+def test_the_session_names_the_shared_folder(spark):
+    from spandrel.llm.common import shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
