@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import report, wire
 from ..operators import reports, selection
-from ..operators.codecs import REGISTRY_SCHEMA, default_registry
+from ..operators.codecs import REGISTRY_SCHEMA, FrameError, default_registry
 from ..operators.frames import Options, compress, decompress, inspect
 from . import config
 
@@ -488,6 +488,8 @@ def _shared(spark: SparkSession) -> str:
     """A new folder that driver and executors share, on a file system with plain paths."""
     top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "").removeprefix("file:")
     top = "/" + top.lstrip("/") if top.startswith("//") else top
+    if "://" in top:
+        raise FrameError("InvalidInput", f"files need a shared folder with plain paths, not {top}")
     if top:
         os.makedirs(top, exist_ok=True)
     return tempfile.mkdtemp(prefix="frames-", dir=top or None)
