@@ -2,13 +2,14 @@
 
 Signatures come from two permutations of the 32-bit universe only: sigma scatters a set's elements once, and coordinate k
 is the smallest pi(sigma(x) - k), pi under a circular shift by k. 48 bands of 6 coordinates miss a pair of similarity
-0.8 with a probability of 5e-7, one of 0.85 with 2e-11.
+0.8 with a probability of 5e-7, one of 0.85 with 1.4e-10.
 
 Documents with equal sets collapse to one class first, so copies never meet. Bands link each class to the band's
 smallest one; the components of these unconfirmed links hold every pair that shares a band. Inside a component a
 breadth-first search over full sets confirms links: a class leaves the search once reached, so a group of near copies
 costs about one comparison per member rather than all pairs, and only a spanning forest of links leaves the task. A
-component beyond `BLOCK_SHINGLES` or `BLOCK_SETS` is dealt into blocks and each pair of blocks is one task's work.
+component beyond `BLOCK_SHINGLES` or `BLOCK_SETS` is dealt into blocks: one of them is searched with each other block,
+and then only what that did not join to the largest component is searched with all blocks.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than a shingle give one
 shingle, the whole sequence; rows of one `doc_id` count as the same document and share its component; a null `doc_id`
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, bounded_batches, boxed, discard, expand, mix, squeeze, store, text_bytes, unboxed
@@ -183,14 +184,12 @@ def _members(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
     return rows.join(all_.hint("shuffle_hash"), "node").select("node", "root", "_text").mapInArrow(run, "node long, cluster long, n long, shingles binary").filter("n > 0")
 
 
-def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """The links that full sets confirm, as a spanning forest of every pair of blocks."""
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
-    dealt = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
-    dealt = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def _count_blocks(n: str, sets: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(sets) / BLOCK_SETS)).cast("int")
+
+
+def _search(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """The links inside each group of node, shingles."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("node").to_numpy(), kind="stable")
@@ -199,7 +198,33 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
         u, v = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return dealt.select("cluster", "i", "j", "node", "shingles").groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long")
+    return rows.select(*keys, "node", "shingles").groupBy(*keys).applyInArrow(run, "u long, v long")
+
+
+def _confirmed(members: DataFrame, percent: int) -> DataFrame:
+    """The links that full sets confirm, as spanning forests.
+
+    A cluster of several blocks is searched twice. First its block 0 with each other block, which joins most of a group
+    of near copies; then what is left outside the cluster's largest component with every block. Two texts that both are
+    in that component are connected already, any other pair meets in the second search.
+    """
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    dealt = members.join(sizes.select("cluster", _count_blocks("total", "sets").alias("blocks")), "cluster")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    hub = F.when((F.col("own") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = store(_search(dealt.withColumn("block", F.explode(hub)), percent, "cluster", "block"), "confirmed")
+    large = dealt.filter("blocks > 2")
+    if large.isEmpty():
+        return first
+    labels = large.select("cluster", "blocks", "own", "node", "n").join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    most = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
+    rest = store(labels.join(most, "cluster").filter("label <> most").select("cluster", "node", "n"), "unsettled")
+    chunks = rest.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", _count_blocks("total", "sets").alias("chunks"))
+    large = large.join(chunks, "cluster")
+    whole = large.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.col("own").alias("block"), "chunk", "node", "shingles")
+    loose = large.join(rest.select("cluster", "node"), ["cluster", "node"], "left_semi").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    loose = loose.withColumn("block", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))).select("cluster", "block", "chunk", "node", "shingles")
+    return first.unionByName(_search(whole.unionByName(loose), percent, "cluster", "block", "chunk"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -209,9 +234,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "classes")
     clusters = components(_candidates(classes))
     members = store(_members(docs, clusters, words), "members")
+    confirmed = _confirmed(members, percent)
     rows = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     own = known.join(rows, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(_confirmed(members, percent).unionByName(own))
+    found = components(confirmed.unionByName(own))
     discard(members)
     roots = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
