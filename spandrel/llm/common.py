@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 #: Bytes that separate words: space, and 0x09 to 0x0D.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 #: Most bytes of one Arrow batch sent to a Python worker, so that very long texts do not make a batch unbounded.
@@ -22,7 +24,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches in this session, so that batches of long texts stay small."""
+    """Bound the bytes of Arrow batches in this session, so that batches of long texts stay small, and see to it that
+    workers can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
