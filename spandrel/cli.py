@@ -22,6 +22,7 @@ from .operators import reports
 from .operators.codecs import FrameError, default_registry
 from .operators.frames import Options, compress, decompress, inspect
 from .plans import config as settings
+from .ship import ship
 from .sources.files import check_target, from_bytes, read_files, restore_attributes
 
 LOG_LEVELS = {"error": logging.ERROR, "warn": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG, "trace": 5}
@@ -70,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
 def session() -> SparkSession:
     spark = SparkSession.builder.master("local[*]").appName("spandrel").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

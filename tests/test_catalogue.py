@@ -41,3 +41,26 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["files", "total_original", "all_crc_valid"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_workers_need_no_path(tmp_path):
+    """Queries work where Python workers can find the package neither by their folder nor by PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert __spark_entry__.queries()["roundtrip_pages"](spark, "/root/testdata/sf0.001").filter("error_kind is null").count() == 50
+assert __spark_entry__.entry(spark).first()["all_crc_valid"]
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=170)
+    assert out.stdout.strip().endswith("done"), out.stderr[-2000:]
