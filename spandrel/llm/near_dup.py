@@ -26,16 +26,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, boxed, discard, expand, mix, squeeze, store, text_bytes, unboxed
+from .common import Words, bounded_batches, boxed, discard, expand, mix, slices, squeeze, store, text_bytes, unboxed
 from .components import components
 
 BANDS, ROWS = 48, 6
-BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 4096
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
+#: Bytes of text scanned at once.
+SCAN_BYTES = 2 << 20
 _GOLD = 0x9E3779B97F4A7C15
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes (64 bits) of each text, A-Z lower-cased."""
+    return [s for a, b in slices(texts, SCAN_BYTES) for s in _shingle_sets(texts[a:b], words)]
+
+
+def _shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     scan = Words([t.lower() if t else t for t in texts])
     h = scan.hashes()
     grams = np.zeros(max(0, len(h) - words + 1), np.uint64)
@@ -131,6 +137,7 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
     """A spanning forest of the links 100 * |intersection| >= percent * |union|: breadth-first, over full sets."""
     sizes = np.array([len(s) for s in sets])
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = codes.astype(np.int32)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     mark = np.zeros(int(codes.max()) + 1, np.int32)
@@ -193,8 +200,9 @@ def _search(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        raw = table.column("shingles").to_pylist()
-        pairs = linked(table.column("node").to_numpy()[order], [np.frombuffer(raw[i], np.uint64) for i in order], percent) if len(order) > 1 else []
+        raw = table.column("shingles")
+        sets = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in order]  # views, not copies
+        pairs = linked(table.column("node").to_numpy()[order], sets, percent) if len(order) > 1 else []
         u, v = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
