@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +20,9 @@ from ..ship import ship
 #: Bytes that separate words: space, and 0x09 to 0x0D.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 #: Most bytes of one Arrow batch sent to a Python worker, so that very long texts do not make a batch unbounded.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Bytes of text whose scan's arrays, many times as large, are held at once.
+SCAN_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +31,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches in this session, so that batches of long texts stay small, and see to it that
-    workers can import this package."""
+    """Bound the bytes of Arrow batches, so that batches of long texts stay small, and see to it that workers can import
+    this package. The operators need that bound when their result is consumed, so the session keeps it."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Return memory that this worker's allocators hold but do not use. Workers outlive their tasks, so what one stage
+    needed for a moment would else be missing in all later ones."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with unused memory given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this run's own is set only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets one of this run's own; on a
+    cluster a machine-local folder would lose data, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="spandrel-checkpoint-")
@@ -42,6 +77,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def boxed(docs: DataFrame, **extra: Column) -> DataFrame:
     """`row`, the columns of `docs` as one struct, beside columns of our own, whose names then cannot clash."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in extra.items()))
@@ -57,36 +97,44 @@ def box_schema(docs: DataFrame, extra: str) -> T.StructType:
     return T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL(extra).fields])
 
 
-#: Tables that `store` wrote and nobody has deleted yet.
-STORED: set[str] = set()
+#: Tables that `store` wrote and nobody has deleted yet, with the configuration of their file system.
+STORED: dict[str, object] = {}
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write `df` as a Parquet table in the shared folder and read it back. Survives lost executors.
-    Results may read such tables until they are consumed; `cleanup` deletes all of them."""
+    Results may read such tables until they are consumed; `cleanup` deletes all of them, and so does the end of the
+    driver's Python process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    STORED.add(path)
+    STORED[path] = spark.sparkContext._jsc.hadoopConfiguration()
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(path: str) -> None:
+    target = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(STORED.pop(path)).delete(target, True)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table that `store` wrote, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
-        STORED.difference_update({p for p in STORED if p.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]})
+    """Delete a table that `store` returned, once nothing reads it any more."""
+    _delete(df._stored_at)
+
+
+def cleanup(spark: SparkSession | None = None) -> None:
+    """Delete every table that this process stored. Call it when results have been written or collected. Each table
+    knows its own file system; `spark` need not be given."""
+    for path in list(STORED):
+        _delete(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete every table that this process stored. Call it when results have been written or collected."""
-    while STORED:
-        _delete(spark, STORED.pop())
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        cleanup()
 
 
 def partitions(spark: SparkSession) -> int:

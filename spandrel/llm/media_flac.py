@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_bytes
+from .common import bounded_batches, text_bytes, thrifty
 
 BLOCK = 576
 RATE = 8000
@@ -478,7 +478,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the FLAC stream (media) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = batch.column(1).to_pylist()
             padded = [payload(t) for t in texts]
             media = [m for a, b in _groups([len(p) for p in padded]) for m in encode_streams(padded[a:b])]
@@ -500,7 +500,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, sample_offset, byte_offset (of the frame in its stream), samples and pcm (unsigned bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             ids, rows = batch.column("doc_id").to_pylist(), []
             for i, _, samples, blocks in _decoded(batch):
                 raw = (samples.view(np.uint8) ^ 0x80).tobytes()
@@ -517,7 +517,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
     media_sha256 and feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             rows = []
             for _, stream, samples, _ in _decoded(batch):
                 raw = (samples.view(np.uint8) ^ 0x80).tobytes()

@@ -26,13 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, boxed, discard, expand, mix, slices, squeeze, store, text_bytes, unboxed
+from .common import SCAN_BYTES, Words, bounded_batches, boxed, discard, expand, mix, slices, squeeze, store, text_bytes, thrifty, unboxed
 from .components import components
 
 BANDS, ROWS = 48, 6
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
-#: Bytes of text scanned at once.
-SCAN_BYTES = 2 << 20
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -99,7 +97,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, 128-bit set key, and the band keys on the first row of a set in each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             raw = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             first: dict[bytes, int] = {}
@@ -123,7 +121,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """Each class linked to the smallest class of each of its bands: as many links as band rows, at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             rep = np.repeat(batch.column("rep").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep)], ["band", "rep"])
@@ -176,12 +174,12 @@ def _members(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
     to the candidates, which are the side that is hashed: no text is sorted, and at any size the plan is the same."""
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = [squeeze(t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["node", "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             sets = shingle_sets([expand(t) for t in batch.column("_text").to_pylist()], words)
             columns = [batch.column("node"), batch.column("root"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "n", "shingles"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, box_schema, boxed, text_bytes, unboxed
+from .common import SCAN_BYTES, Words, bounded_batches, boxed, give_back, slices, text_bytes, thrifty, unboxed
 
 #: Bound of the labelled sample a model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -58,7 +58,11 @@ def _distinct(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
-    """A row of FEATURES for each text."""
+    """A row of FEATURES for each text, computed in slices, as a scan's arrays are many times its text."""
+    return np.concatenate([_features(texts[a:b]) for a, b in slices(texts, SCAN_BYTES)])
+
+
+def _features(texts: list[bytes | None]) -> np.ndarray:
     n = len(texts)
     scan = Words(texts)
     size = np.maximum(1, np.diff(scan.begins) - 1).astype(float)
@@ -194,7 +198,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             x = features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -208,16 +212,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`row`, the document, and its `score`."""
+    """`row`, the document, and its `score`. Only the text goes to Python and only the score comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables only: a few thousand numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = shared.value.score(features(batch.column("_bytes").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made)], ["row", "score"])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        made = pa.array(shared.value.score(features(texts.to_pylist())))
+        give_back()
+        return made
 
     bounded_batches(docs.sparkSession)
-    return boxed(docs, _bytes=text_bytes()).mapInArrow(run, box_schema(docs, "score double"))
+    return boxed(docs, score=run(text_bytes()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, box_schema, boxed, expand, mix, partitions, slices, squeeze, text_bytes, unboxed
+from .common import SCAN_BYTES, Words, bounded_batches, box_schema, boxed, expand, mix, partitions, slices, squeeze, text_bytes, thrifty, unboxed
 
 MER = 3
 #: Buckets for each shuffle partition: a task sorts one bucket at a time.
 BUCKETS = 6
 #: One document in this many is looked at for frequent minimisers, and at most so many are dealt by window.
 SAMPLE, MOST_HOT = 64, 4096
-#: Bytes of text scanned, and shipped, at once.
-SCAN_BYTES, SHIP_BYTES = 2 << 20, 8 << 20
+#: Bytes of text shipped at once.
+SHIP_BYTES = 8 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,7 +219,7 @@ def _frequent(docs: DataFrame, width: int, n_buckets: int) -> np.ndarray:
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = batch.column(0).to_pylist()
             found = [super_kmers(Words(texts[a:b]), width, none)[2] for a, b in slices(texts, SCAN_BYTES)]
             low, n = np.unique(np.concatenate(found), return_counts=True)
@@ -238,7 +238,7 @@ def repeated_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
     hot = _frequent(docs, width, n_buckets)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             ids = batch.column(0).to_numpy()
             order = np.argsort(ids, kind="stable")
             texts = batch.column(1).to_pylist()
@@ -280,13 +280,13 @@ def substring_digest(docs: DataFrame, width: int = 13) -> DataFrame:
     to their ranges compressed."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([_checksum(t) for t in texts], pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["_doc", "_mark", "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             n, gone, digest = [], [], []
             for text, ranges in zip(batch.column("_text"), batch.column("_ranges"), strict=True):
                 words, cover = removed_words(expand(text.as_py()), ranges.as_py())
@@ -305,7 +305,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
     """Documents whose text keeps only the words that repeat nothing; a text that repeats nothing stays as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = []
             for text, ranges in zip(batch.column("_text"), batch.column("_ranges"), strict=True):
                 words, cover = removed_words(text.as_py(), ranges.as_py())
