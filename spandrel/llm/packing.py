@@ -5,12 +5,13 @@ however many documents there are. The plan is a list of runs: "items rank..rank+
 s..s+n-1 at this offset". Every piece then finds its slot from its length and its rank within that length.
 
 Defined results: a null text counts as empty (one piece with only the end id); rows with equal or null `doc_id` are
-packed like any others, each with its own slots; an empty table gives an empty result; other columns are ignored.
+packed like any others, each with its own slots; texts of any length and content are tokenised whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,31 +21,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, store, text_bytes
+from .common import bounded_batches, partitions, store, text_bytes, thrifty
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bounds the plan: runs beyond it would not be broadcast. A capacity of 1024 yields a few thousand.
 MOST_RUNS = 2_000_000
+#: White space of more characters in a row is not handed to the merge loop.
+LONG_SPACE = 100_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 @lru_cache(2)
 def encoder(path: str | None):
     """A function from a text to its ids. The byte-level BPE vocabulary of `path` (a `tokenizers` JSON file) is read and
     run by tiktoken's merge loop, which gives the same ids several times faster; special strings in a text become
-    their special ids, as is the default of `tokenizers`."""
+    their special ids, as is the default of `tokenizers`. White space beyond `LONG_SPACE` characters in a row is more
+    than that loop's pattern can look back over: such texts go to `tokenizers` itself."""
     import json
 
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
-    spec = json.load(open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8"))
+    file = str(path or public_tokenizers.path(VOCABULARY))
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in printable)}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(shown[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     own = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: own.encode(text, allowed_special="all")
+    whole: list[tokenizers.Tokenizer] = []  # read when first needed
+
+    def encode(text: str) -> list[int]:
+        if len(text) > LONG_SPACE and _LONG_RUN.search(text):
+            if not whole:
+                whole.append(tokenizers.Tokenizer.from_file(file))
+            return whole[0].encode(text, add_special_tokens=False).ids
+        return own.encode(text, allowed_special="all")
+
+    return encode
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -60,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in thrifty(batches):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array(encode((text.as_py() or b"").decode("utf-8", "replace")) + [end_id], "<u4")
@@ -109,9 +126,10 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 def ranked(cuts: DataFrame) -> DataFrame:
     """Adds `rank`, 0-based and unique within `length`. A length that a third of all pieces share is dealt over many
-    buckets: each bucket numbers its own rows and starts where the counts of the buckets before it end."""
+    buckets, by its content too, as doc_ids may be null or equal: each bucket numbers its own rows and starts where the
+    counts of the buckets before it end."""
     n = partitions(cuts.sparkSession)
-    dealt = cuts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
+    dealt = cuts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -134,7 +152,7 @@ def place(cuts: DataFrame, capacity: int = 1024) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         key = (table[:, 0] << 44) + table[:, 1]
-        for batch in batches:
+        for batch in thrifty(batches):
             length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "rank"))
             at = np.searchsorted(key, (length << 44) + rank, "right") - 1
             slot = [pa.array(table[at, 3] + rank - table[at, 1], pa.int64()), pa.array(table[at, 4], pa.int64())]
