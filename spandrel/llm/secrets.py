@@ -8,12 +8,15 @@ against the background; likely ones are added as `like_assign`, `like_access` or
 
 Defined results: a null text counts as empty, with no spans; spans count code points, end exclusive, and bytes that are
 not UTF-8 count as U+FFFD; rows are scanned each, whatever their doc_id; a corpus without credentials of a kind adds no
-spans of it; an empty table gives an empty result; other columns are ignored.
+spans of it; what teaches is chosen by a hash of its content, so the result does not depend on how rows are dealt;
+texts of any length are scanned whole, in time proportional to it; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import deque
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, store, text_bytes
+from .common import bounded_batches, discard, store, text_bytes, thrifty
 
 #: Bounds of the training sample: credentials of each kind, and ordinary tokens; those with the smallest hashes.
 SAMPLE, BACKGROUND = 500, 2000
@@ -176,18 +179,33 @@ class Formats:
 
 
 def _candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, str]]:
-    """The long tokens of a text that no base span touches."""
+    """The long tokens of a text that no base span touches: both are walked once, in order."""
     taken = sorted((a, b) for a, b, _, _ in base)
+    i, end = 0, -1  # the furthest end of the spans that start before the token's own
     for m in _TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        while i < len(taken) and taken[i][0] < m.end():
+            end = max(end, taken[i][1])
+            i += 1
+        if end <= m.start():
             yield m.start(), m.end(), m[0]
 
 
+def _order(value: str) -> tuple[int, str]:
+    """What decides which values teach, `xxhash64` as Spark computes it: the same for any partitioning."""
+    unsigned = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), 42)
+    return unsigned - (1 << 64 if unsigned >> 63 else 0), value
+
+
+def _bound(kind: str) -> int:
+    return BACKGROUND if kind == "background" else SAMPLE
+
+
 def _sample(docs: DataFrame) -> DataFrame:
-    """kind, value of the credentials and ordinary tokens of every document, thinned in each batch by hash."""
+    """kind, value of the credentials and ordinary tokens of every document, thinned in each batch by hash: what is among
+    the smallest of all is among the smallest of its batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             found: dict[str, set[str]] = {k: set() for k in (*KINDS, "background")}
             for raw in batch.column(0).to_pylist():
                 text = (raw or b"").decode("utf-8", "replace")
@@ -196,7 +214,7 @@ def _sample(docs: DataFrame) -> DataFrame:
                     found[kind].add(value)
                 if not base:
                     found["background"].update(t for _, _, t in _candidates(text, base))
-            rows = [(k, v) for k, values in found.items() for v in sorted(values, key=xxhash.xxh3_64_intdigest)[: BACKGROUND if k == "background" else SAMPLE]]
+            rows = [(k, v) for k, values in found.items() for v in heapq.nsmallest(_bound(k), values, key=_order)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
 
     bounded_batches(docs.sparkSession)
@@ -209,7 +227,8 @@ def learn(docs: DataFrame) -> Formats | None:
     some = {}
     for kind in (*KINDS, "background"):
         own = sample.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value")
-        some[kind] = [r[0] for r in own.select("value").limit(BACKGROUND if kind == "background" else SAMPLE).collect()]
+        some[kind] = [r[0] for r in own.select("value").limit(_bound(kind)).collect()]
+    discard(sample)
     return train(some)
 
 
@@ -239,7 +258,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None) -> DataFrame:
     """One row per span: doc_id, kind, start, end and the credential."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base, added = scan((raw or b"").decode("utf-8", "replace"), formats)
@@ -257,7 +276,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     formats = learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             rows = []
             for raw in batch.column(1).to_pylist():
                 base, added = scan((raw or b"").decode("utf-8", "replace"), formats)
