@@ -5,32 +5,43 @@ ask about the text read so far: its longest suffix that some piece starts with a
 suffix, the last token of the text up to there and the number of tokens so far relative to now. (A sequence of tokens is
 what merging gives if and only if every neighbouring pair is, so the last token at a position follows from the last
 tokens before it.) Each transition is annotated with the change in emitted tokens, so counting walks the text and adds
-annotations. States are determinised when first reached, and kept by the worker.
+annotations. No piece spans from a character to a following space, so a space after anything else leads to one state,
+whatever went before, and so does a character that the vocabulary lacks. States are determinised when first reached, and
+kept by the worker: their number is bounded, and none holds more text than the longest piece.
 
-No piece spans from a character to a following space, so a space after something else resets the state, whatever it
-was: a chunk of text maps any entry state to an exit state through the part before its first reset only. Those chunk
-maps are associative; long texts are cut into chunks whose maps are composed pairwise, as a scan.
+A long text is cut into chunks. A chunk is a map from the state before it to the state after it and the tokens between.
+Maps compose associatively, without looking at text again, so a prefix scan over the chunks' maps gives the state and the
+count at every chunk's end. A chunk's map walks its text once, from the start state; for any other state it walks only
+until both walks stand in the same state, from where the rest is known.
 
 Defined results: a null text counts as empty, with no tokens; bytes that are not UTF-8 count as U+FFFD; rows are counted
-each, whatever their doc_id; an empty table gives an empty result; other columns are ignored.
+each, whatever their doc_id; texts of any length, with or without spaces, are counted whole, in memory that grows with
+their number of chunks only; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_bytes
+from .common import bounded_batches, text_bytes, thrifty
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 1 << 16
-#: States and counted words that a worker keeps.
-MOST_STATES, MOST_WORDS = 300_000, 600_000
+#: States that a worker keeps.
+MOST_STATES = 200_000
+#: Words whose token counts a worker keeps, and the most characters of such a word.
+MOST_WORDS, LONGEST_WORD = 200_000, 24
+#: Characters between two places at which a chunk's map remembers its walk.
+STRIDE = 64
+
+T = TypeVar("T")
 
 
 class State(dict):
@@ -56,14 +67,10 @@ class Transducer:
         self.scores = scores
         self.known = {p for p in scores if len(p) == 1}
         self.prefixes = {p[:i] for p in scores for i in range(1, len(p) + 1)}
-        longest = max((len(p) for p in scores if set(p) == {SPACE}), default=1)
-        self.runs = [0, *(len(self.merge(SPACE * n)) for n in range(1, 2 * longest))]
-        self.longest = longest
         self._fits: dict[tuple[str, str], bool] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self._state(("", ((0, None, 0),)))
-        self.spaced_start = self.start[SPACE] if SPACE in self.scores else None
         self.words: dict[str, int] = {}
+        self.start = self._state(("", ((0, None, 0),)))
 
     def _state(self, key: tuple) -> State:
         found = self.states.get(key)
@@ -85,10 +92,6 @@ class Transducer:
                 worth[i] = scores.get(parts[i] + parts[i + 1], none)
         return parts
 
-    def spaces(self, n: int) -> int:
-        """Tokens of a run of spaces."""
-        return self.runs[n] if n < len(self.runs) else n // self.longest - 1 + self.runs[self.longest + n % self.longest]
-
     def _follows(self, before: str | None, token: str) -> bool:
         """Whether merging leaves these two tokens side by side."""
         key = (before or "", token)
@@ -101,8 +104,14 @@ class Transducer:
 
     def step(self, state: State, char: str) -> tuple[State, int]:
         """Compile one transition."""
+        if char not in self.known and char != " ":
+            return self.start, len(char.encode())  # not kept: there are a million such characters
         suffix, past = state.key
-        read = suffix + char
+        read = SPACE if char == " " else char
+        if read == SPACE and suffix and suffix[-1] != SPACE:
+            made = state[char] = self.start[SPACE]
+            return made
+        read = suffix + read
         end = len(read)
         for size, before, tokens in past:  # the longest piece that may stand after the last token before it
             token = read[end - size - 1 :]
@@ -113,124 +122,130 @@ class Transducer:
         key = read[end - live[0][0] :] if live else "", (*live, (0, token, 0))
         if len(self.states) >= MOST_STATES and key not in self.states:
             return State(key, self), delta  # the frequent states are there by now; a rare one is used and forgotten
-        made = self._state(key)
-        state[char] = made, delta
-        return made, delta
-
-    def count(self, text: str) -> int:
-        """Tokens of a text of known characters that holds no space after its first character."""
-        return self._walk(self.start, text)
-
-    @staticmethod
-    def _walk(state: State, text: str) -> int:
-        total = 0
-        for char in text:
-            state, delta = state[char]
-            total += delta
-        return total
-
-    def leads_alone(self, text: str) -> bool:
-        """Whether the first token of such a text is a single space."""
-        state, ends = self.start, []
-        for char in text:
-            state, _ = state[char]
-            ends.append(len(state.key[1][-1][1]))
-        at = len(ends)
-        while at > 1 and at - ends[at - 1] > 0:
-            at -= ends[at - 1]
-        return text[:1] == SPACE and at == 1
-
-    def word(self, word: str) -> int:
-        """Tokens of a word and the space before it."""
-        if self.spaced_start is not None and self.known.issuperset(word):
-            first, before = self.spaced_start
-            return before + self._walk(first, word)
-        total, part = 0, SPACE
-        for char in word:
-            if char in self.known:
-                part += char
-            else:
-                total += self.count(part) + len(char.encode())
-                part = ""
-        return total + self.count(part)
-
-    def spaced(self, text: str) -> int:
-        """Tokens of a text that is empty or starts with a space: each word with the spaces before it."""
-        total, run = 0, 1
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        seen = self.words
-        for word in text.split(" ")[1:]:
-            if not word:
-                run += 1
-                continue
-            n = seen.get(word)
+        made = state[char] = self._state(key), delta
+        return made
+
+
+Exit = tuple[State, int]
+Map = Callable[[State], Exit]
+
+
+def _step_through(state: State, text: str) -> Exit:
+    total = 0
+    for char in text:
+        state, delta = state[char]
+        total += delta
+    return state, total
+
+
+def walk(state: State, text: str) -> Exit:
+    """The state after a text without `SPACE`, and its change in emitted tokens. A short cut past whole words: between a
+    space that follows something else and another space, the change depends on the word alone."""
+    parts = text.split(" ")
+    state, total = _step_through(state, parts[0])
+    if len(parts) == 1:
+        return state, total
+    run = state.run
+    words, (spaced, lead) = run.words, run.start[SPACE]
+    apart = bool(parts[0]) or state.key[0][-1:] != SPACE  # what was read last is not a space
+    for word in parts[1:-1]:
+        if apart and word:
+            n = words.get(word)
             if n is None:
-                n = seen[word] = self.word(word)
+                n = lead + _step_through(spaced, word)[1]
+                if len(word) <= LONGEST_WORD and len(words) < MOST_WORDS:
+                    words[word] = n
             total += n
-            if run > 1:  # the spaces that do not merge with the word merge with each other, from the left
-                head = SPACE
-                for char in word:
-                    if char not in self.known:
-                        break
-                    head += char
-                alone = self.leads_alone(head)
-                total += self.spaces(run - 1 + alone) - alone
-                run = 1
-        return total + self.spaces(run - 1)
-
-
-class ChunkMap:
-    """What a chunk of text does to any entry state: `head` runs from that state; after the first reset the rest is
-    fixed: `inner` tokens, then `tail` from the start state. Without a reset the chunk is all head."""
-
-    __slots__ = ("head", "inner", "tail")
-
-    def __init__(self, head: str, inner: int = 0, tail: str | None = None):
-        self.head, self.inner, self.tail = head, inner, tail
-
-    @classmethod
-    def of(cls, run: Transducer, text: str) -> ChunkMap:
-        first = _reset(text)
-        if first < 0:
-            return cls(text)
-        bare = len(text.rstrip(" "))
-        last = text.rfind(" ", 0, bare)
-        last = bare if bare < len(text) else last  # trailing spaces start at a reset themselves
-        while last < bare and last > first and text[last - 1] == " ":
-            last -= 1
-        last = max(last, first)
-        return cls(text[:first], run.spaced(text[first:last]) if last > first else 0, text[last:])
-
-    def then(self, run: Transducer, other: ChunkMap) -> ChunkMap:
-        if self.tail is None:
-            return ChunkMap(self.head + other.head, other.inner, other.tail)
-        if other.tail is None:
-            return ChunkMap(self.head, self.inner, self.tail + other.head)
-        return ChunkMap(self.head, self.inner + run.spaced(self.tail + other.head) + other.inner, other.tail)
-
-    def total(self, run: Transducer) -> int:
-        """Tokens from the start state, after the space that precedes every text."""
-        return run.spaced(" " + self.head) + self.inner + (run.spaced(self.tail) if self.tail is not None else 0)
-
-
-def _reset(text: str) -> int:
-    """Position of the first space that follows something else, or -1."""
-    bare = len(text) - len(text.lstrip(" "))
-    return text.find(" ", bare) if bare < len(text) else -1
+            continue
+        state, n = (spaced, lead) if apart else state[" "]  # one of several spaces, or the word after them
+        total += n
+        apart = bool(word)
+        if word:
+            total += _step_through(state, word)[1]
+    state, n = (spaced, lead) if apart else state[" "]
+    end, m = _step_through(state, parts[-1])
+    return end, total + n + m
+
+
+def same(a: State, b: State) -> bool:
+    return a is b or a.key == b.key
+
+
+class Chunk:
+    """The map of a chunk of text without `SPACE`."""
+
+    __slots__ = ("known", "marks", "text")
+
+    def __init__(self, run: Transducer, text: str):
+        self.text = text
+        state, total = run.start, 0
+        self.marks = [(state, 0)]  # of the walk from the start state, after every STRIDE characters and at the end
+        for at in range(0, len(text), STRIDE):
+            state, n = walk(state, text[at : at + STRIDE])
+            total += n
+            self.marks.append((state, total))
+        self.known: dict[tuple, Exit] = {}
+
+    def __call__(self, state: State) -> Exit:
+        key = state.key
+        if key not in self.known:
+            total = 0
+            for i, (mark, counted) in enumerate(self.marks):
+                if same(state, mark):
+                    self.known[key] = self.marks[-1][0], total + self.marks[-1][1] - counted
+                    break
+                state, n = walk(state, self.text[i * STRIDE : (i + 1) * STRIDE])
+                total += n
+            else:
+                self.known[key] = state, total
+        return self.known[key]
+
+
+class Then:
+    """The map of two neighbouring maps: an exit of the first enters the second, and their tokens add up."""
+
+    __slots__ = ("first", "known", "second")
+
+    def __init__(self, first: Map, second: Map):
+        self.first, self.second = first, second
+        self.known: dict[tuple, Exit] = {}
+
+    def __call__(self, state: State) -> Exit:
+        key = state.key
+        if key not in self.known:
+            between, n = self.first(state)
+            end, m = self.second(between)
+            self.known[key] = end, n + m
+        return self.known[key]
+
+
+def scan(items: list[T], compose: Callable[[T, T], T]) -> list[T]:
+    """Inclusive prefixes under an associative operation: neighbours are composed, the half as many are scanned, and the
+    places between filled in, so all compositions of a level are independent."""
+    if len(items) < 2:
+        return list(items)
+    halves = scan([compose(a, b) for a, b in zip(items[::2], items[1::2], strict=False)], compose)
+    return [items[0]] + [halves[i // 2] if i % 2 else compose(halves[i // 2 - 1], items[i]) for i in range(1, len(items))]
+
+
+def prefix_counts(run: Transducer, text: str, chunk: int = CHUNK) -> list[int]:
+    """Tokens of a text up to the end of each chunk, as they would be if it ended there."""
+    if not text:
+        return []
+    start, lead = run.start[SPACE]  # a space precedes every text
+    text = text.replace(SPACE, " ")
+    maps: list[Map] = [Chunk(run, text[i : i + chunk]) for i in range(0, len(text), chunk)]
+    return [lead + upto(start)[1] for upto in scan(maps, Then)]
 
 
 def count_tokens(run: Transducer, text: str, chunk: int = CHUNK) -> int:
     """Tokens of a whole text."""
+    if len(text) > chunk:
+        return prefix_counts(run, text, chunk)[-1]
     if not text:
         return 0
-    text = text.replace(SPACE, " ")
-    if len(text) <= chunk:
-        return run.spaced(" " + text)
-    maps = [ChunkMap.of(run, text[i : i + chunk]) for i in range(0, len(text), chunk)]
-    while len(maps) > 1:
-        maps = [maps[i].then(run, maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0].total(run)
+    start, lead = run.start[SPACE]
+    return lead + walk(start, text.replace(SPACE, " "))[1]
 
 
 @lru_cache(2)
@@ -249,7 +264,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(tokenizer_path)
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             n = [count_tokens(transducer, t.decode("utf-8", "replace")) for t in texts]
             columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
