@@ -5,9 +5,10 @@ enough documents hold are indexed: a minimal perfect hash over their 128-bit has
 arrays (fingerprint, document count, last holder), one set of arrays per shard. Documents then probe the arrays; no
 line text is ever shuffled or joined. A line that is not indexed lands on some slot too, where its fingerprint differs.
 
-Defined results: a null or empty text is one empty line; every row counts as one document, also where `doc_id` repeats;
-of rows that tie for the largest `doc_id` holding a line, all keep it; a null `doc_id` is smaller than any other; other
-columns pass through untouched; an empty table gives an empty result.
+Defined results: a null or empty text is one empty line; a document is a `doc_id`, so rows that share one count once, and
+of rows that tie for the largest `doc_id` holding a line, all keep it; a null `doc_id` is no document: its lines count
+for none and it loses none; a text of any length is one list of its own lines in one worker, never more than a batch
+beside it; other columns pass through untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,28 +22,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, bounded_batches, box_schema, boxed, mix, partitions, store, text_bytes, unboxed
+from .common import WORD_SPACE, bounded_batches, boxed, discard, give_back, mix, partitions, store, text_bytes, thrifty, unboxed
 
 #: An index of more bytes is not broadcast: the probes travel to the shards instead.
 BROADCAST_BYTES = 48 << 20
-NO_DOC = -(1 << 63)
+#: Keys of one shard, which one task builds.
+SHARD_KEYS = 500_000
 
 
 class PerfectHash:
     """A minimal perfect hash in levels: at each level keys that land alone on a bit own it, the others go on.
 
-    A key's slot is the number of owned bits before its own. Levels are built and probed as whole arrays.
+    A key's slot is the number of owned bits before its own: one running count for each 512 bits, the rest by population
+    counts. Levels are built and probed as whole arrays.
     """
 
     GAMMA = 2
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        self.ranks, total = [], 0
-        for bits in levels:
-            run = np.cumsum(bits, dtype=np.int64) + total
-            self.ranks.append(run - 1)
-            total = int(run[-1]) if len(run) else total
+    def __init__(self, sizes: np.ndarray, words: np.ndarray):
+        """sizes: bits of each level, multiples of 512; words: the bits of all levels, 64 to a word."""
+        self.sizes, self.words = sizes, words
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        blocks = np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64)
+        self.ranks = np.cumsum(blocks) - blocks
 
     @staticmethod
     def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -50,40 +52,46 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], np.unique(keys)
+        sizes, packed, left = [], [], np.unique(keys)
         while len(left):
-            size = max(64, cls.GAMMA * len(left))
-            at = cls._at(left, len(levels), size)
+            size = -(-cls.GAMMA * len(left) // 512) * 512
+            at = cls._at(left, len(sizes), size)
             alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
+            sizes.append(size)
+            packed.append(np.packbits(alone, bitorder="little").view("<u8"))
             left = left[~alone[at]]
-        return cls(levels)
+        return cls(np.array(sizes, np.int64), np.concatenate([np.zeros(0, np.uint64), *packed]).astype(np.uint64))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; -1 or any slot for a key that was not built in."""
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for level, bits in enumerate(self.levels):
-            at = self._at(keys[open_], level, len(bits))
-            hit = bits[at]
-            out[open_[hit]] = self.ranks[level][at[hit]]
+        for level, size in enumerate(self.sizes.tolist()):
+            at = self._at(keys[open_], level, size) + self.starts[level]
+            hit = (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            out[open_[hit]] = self._rank(at[hit])
             open_ = open_[~hit]
         return out
 
     def dump(self) -> tuple[bytes, bytes]:
-        return np.array([len(x) for x in self.levels], np.int64).tobytes(), b"".join(np.packbits(x).tobytes() for x in self.levels)
+        return self.sizes.tobytes(), self.words.tobytes()
 
     @classmethod
-    def load(cls, sizes: bytes, packed: bytes) -> PerfectHash:
-        levels, at = [], 0
-        for n in np.frombuffer(sizes, np.int64):
-            span = (int(n) + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(packed, np.uint8, span, at), count=int(n)).astype(bool))
-            at += span
-        return cls(levels)
+    def load(cls, sizes: bytes, words: bytes) -> PerfectHash:
+        return cls(np.frombuffer(sizes, np.int64), np.frombuffer(words, np.uint64))
+
+    def _rank(self, at: np.ndarray) -> np.ndarray:
+        """Owned bits before each of these."""
+        word = at >> 6
+        low = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        out = self.ranks[at >> 9] + np.bitwise_count(low)
+        for j in range(7):
+            out += np.where(j < (word & 7), np.bitwise_count(self.words[(word & ~7) + j]), 0)
+        return out
 
 
-SHARD = "shard int, sizes binary, bits binary, prints binary, counts binary, lasts binary"
+SHARD = "shard int, sizes binary, words binary, prints binary, counts binary, lasts binary"
+_ARRAYS = ("sizes", "words", "prints", "counts", "lasts")
 
 
 class Shard:
@@ -97,20 +105,21 @@ class Shard:
         both = mix(key ^ print_)
         hash_ = PerfectHash.build(both)
         order = np.argsort(hash_.slots(both))
-        return cls(hash_, print_[order], np.minimum(count[order], 65535).astype(np.uint16), last[order])
+        return cls(hash_, print_[order], count[order].astype(np.int64), last[order].astype(np.int64))
 
     def dump(self) -> tuple[bytes, ...]:
         return *self.hash.dump(), self.prints.tobytes(), self.counts.tobytes(), self.lasts.tobytes()
 
     @classmethod
-    def load(cls, sizes: bytes, bits: bytes, prints: bytes, counts: bytes, lasts: bytes) -> Shard:
-        return cls(PerfectHash.load(sizes, bits), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.uint16), np.frombuffer(lasts, np.int64))
+    def load(cls, sizes: bytes, words: bytes, prints: bytes, counts: bytes, lasts: bytes) -> Shard:
+        return cls(PerfectHash.load(sizes, words), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(lasts, np.int64))
 
-    def drops(self, key: np.ndarray, print_: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether each probed line is indexed and its document is not the last holder."""
+    def drops(self, key: np.ndarray, print_: np.ndarray, doc: np.ndarray, documents: int) -> np.ndarray:
+        """Whether each probed line is in at least so many documents, of which its own is not the last."""
+        if not len(self.prints):
+            return np.zeros(len(key), bool)
         slot = self.hash.slots(mix(key ^ print_))
-        known = (slot >= 0) & (self.prints[slot] == print_) if len(self.prints) else np.zeros(len(key), bool)
-        return known & (self.lasts[slot] != doc) if len(self.lasts) else known
+        return (slot >= 0) & (self.prints[slot] == print_) & (self.counts[slot] >= documents) & (self.lasts[slot] != doc)
 
 
 def line_keys(text: bytes | None, least: int) -> tuple[list[bytes], list[int], list[bytes]]:
@@ -129,83 +138,73 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def _ids(column: pa.Array) -> list[int]:
-    return [NO_DOC if x is None else x for x in column.to_pylist()]
-
-
 def line_counts(docs: DataFrame, least: int = 20) -> DataFrame:
-    """Hash (two longs), document count and last holder of every line key. Each Arrow batch is pre-aggregated, and
-    Spark's partial aggregation does the rest, so that a line in every document costs one row a batch."""
+    """Hash (two longs), number of documents and last holder of every line key.
+
+    Pairs of a line and a doc_id are made distinct first, dealt by both, so that a line in every document is spread over
+    all tasks; only then they are counted, as partial sums, one row a task for such a line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[bytes, list[int]] = {}
-            for doc, text in zip(_ids(batch.column(0)), batch.column(1), strict=True):
-                for key in set(line_keys(text.as_py(), least)[2]):
-                    have = found.setdefault(xxhash.xxh3_128_digest(key), [0, NO_DOC])
-                    have[0] += 1
-                    have[1] = max(have[1], doc)
-            hash_ = np.frombuffer(b"".join(found), ">u8").astype(np.int64, casting="unsafe").reshape(-1, 2)
-            rest = np.array(list(found.values()), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*hash_.T, *rest.T)], ["key", "print", "n", "last"])
+        for batch in thrifty(batches):
+            found: set[tuple[bytes, int]] = set()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found.update((xxhash.xxh3_128_digest(key), doc) for key in set(line_keys(text.as_py(), least)[2]))
+            hash_ = np.frombuffer(b"".join(h for h, _ in found), ">u8").astype(np.int64, casting="unsafe").reshape(-1, 2)
+            columns = (*(np.ascontiguousarray(c) for c in hash_.T), np.array([d for _, d in found], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "print", "doc"])
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "key long, print long, n long, last long")
-    return rows.groupBy("key", "print").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_bytes()).filter("doc is not null").mapInArrow(run, "key long, print long, doc long")
+    return rows.distinct().groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
 
 
-def build_index(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFrame:
-    """The stored shards over every line key that at least `documents` documents hold."""
-    shards = partitions(docs.sparkSession)
+def build_index(docs: DataFrame, least: int = 20, documents: int = 3) -> tuple[DataFrame, int]:
+    """The stored shards over every line key that at least `documents` documents hold, and the number of shards: as many
+    as the session's shuffle partitions, or more where they would hold more than `SHARD_KEYS` keys each."""
 
     def build(table: pa.Table) -> pa.Table:
         u64 = [table.column(c).to_numpy().view(np.uint64) for c in ("key", "print")]
         made = Shard.build(*u64, table.column("n").to_numpy(), table.column("last").to_numpy()).dump()
-        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in made)], ["shard", "sizes", "bits", "prints", "counts", "lasts"])
+        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in made)], ["shard", *_ARRAYS])
 
-    held = line_counts(docs, least).filter(F.col("n") >= documents).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    return store(held.groupBy("shard").applyInArrow(build, SHARD), "line-index")
+    held = store(line_counts(docs, least).filter(F.col("n") >= documents), "repeated-lines")
+    shards = max(partitions(docs.sparkSession), -(-held.count() // SHARD_KEYS))
+    index = store(held.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, SHARD), "line-index")
+    discard(held)
+    return index, shards
 
 
-def _probe_batch(shards: dict[int, Shard], n_shards: int, docs: list[int], found: list) -> list[np.ndarray]:
+def _probe_batch(shards: dict[int, Shard], n_shards: int, docs: list[int | None], found: list, documents: int) -> list[np.ndarray]:
     """For each document of a batch the positions of its lines to drop."""
     owner = np.repeat(np.arange(len(docs)), [len(at) for _, at, _ in found])
     at = np.array([i for _, each, _ in found for i in each], np.int64)
     hash_ = _hashes([k for _, _, keys in found for k in keys])
-    doc = np.array(docs, np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
+    known = np.array([d is not None for d in docs], bool)[owner] if len(owner) else np.zeros(0, bool)
+    doc = np.array([d or 0 for d in docs], np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
     shard = hash_[:, 0].view(np.int64) % n_shards
     drop = np.zeros(len(owner), bool)
     order = np.argsort(shard, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
         if len(part) and (own := shards.get(int(shard[part[0]]))):
-            drop[part] = own.drops(hash_[part, 0], hash_[part, 1], doc[part])
+            drop[part] = own.drops(hash_[part, 0], hash_[part, 1], doc[part], documents)
+    drop &= known
     ends = np.cumsum([len(at) for _, at, _ in found])
     return [x[d] for x, d in zip(np.split(at, ends[:-1]), np.split(drop, ends[:-1]), strict=True)] if len(found) else []
 
 
-def _rows(batch: pa.RecordBatch, results: list[tuple[int, int, bytes]], digest: bool) -> pa.RecordBatch:
+def _digest(ids: pa.Array, results: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     n, dropped, kept = (list(x) for x in zip(*results, strict=True)) if results else ([], [], [])
-    if digest:
-        made = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
-        return pa.RecordBatch.from_arrays(made, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-    texts = [x.decode("utf-8", "replace") for x in kept]
-    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "kept", "chars"])
+    made = [ids, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+    return pa.RecordBatch.from_arrays(made, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
-DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
-
-
-def _broadcast_pass(docs: DataFrame, index: DataFrame, least: int, digest: bool, n_shards: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast([tuple(map(lambda x: bytes(x) if isinstance(x, (bytes, bytearray)) else x, r)) for r in index.collect()])
+def _texts(results: list[tuple[int, int, bytes]]) -> pa.Array:
+    texts = [x.decode("utf-8", "replace") for _, _, x in results]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["kept", "chars"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = {r[0]: Shard.load(*r[1:]) for r in held.value}
-        for batch in batches:
-            found = [line_keys(t.as_py(), least) for t in batch.column("_bytes")]
-            drops = _probe_batch(shards, n_shards, _ids(batch.column("doc_id")), found)
-            yield _rows(batch, [_kept(lines, gone) for (lines, _, _), gone in zip(found, drops, strict=True)], digest)
 
-    return _output(docs, _input(docs, digest).mapInArrow(run, DIGEST if digest else box_schema(docs, KEPT)), digest)
+DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
 def _kept(lines: list[bytes], gone) -> tuple[int, int, bytes]:
@@ -213,60 +212,97 @@ def _kept(lines: list[bytes], gone) -> tuple[int, int, bytes]:
     return len(lines), len(out), b"\n".join(lines if not out else [x for i, x in enumerate(lines) if i not in out])
 
 
-KEPT = "kept string, chars long"
+KEPT = "struct<kept: string, chars: long>"
+
 
+def _replaced(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents out of `row`, with the text and its length from `made`."""
+    return unboxed(rows, docs, text=F.col("made.kept"), n_chars=F.col("made.chars"))
 
-def _input(docs: DataFrame, digest: bool) -> DataFrame:
-    rows = boxed(docs, doc_id=F.col("doc_id").cast("long"), _bytes=text_bytes())
-    return rows.drop("row") if digest else rows
 
+def _broadcast_pass(docs: DataFrame, index: DataFrame, least: int, documents: int, digest: bool, n_shards: int) -> DataFrame:
+    """Every worker holds the whole index. Only doc_id and text go to Python; other columns stay where they are."""
+    held = docs.sparkSession.sparkContext.broadcast([tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in index.collect()])
+    loaded: dict[int, Shard] = {}
 
-def _output(docs: DataFrame, rows: DataFrame, digest: bool) -> DataFrame:
-    return rows if digest else unboxed(rows, docs, text=F.col("kept"), n_chars=F.col("chars"))
+    def results(ids: pa.Array, texts: pa.Array) -> list[tuple[int, int, bytes]]:
+        if not loaded:
+            loaded.update({r[0]: Shard.load(*r[1:]) for r in held.value})
+        found = [line_keys(t.as_py(), least) for t in texts]
+        drops = _probe_batch(loaded, n_shards, ids.to_pylist(), found, documents)
+        return [_kept(lines, gone) for (lines, _, _), gone in zip(found, drops, strict=True)]
+
+    if digest:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in thrifty(batches):
+                yield _digest(batch.column(0), results(batch.column(0), batch.column(1)))
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, DIGEST)
+
+    @F.arrow_udf(KEPT)
+    def texts(ids: pa.Array, raw: pa.Array) -> pa.Array:
+        made = _texts(results(ids, raw))
+        give_back()
+        return made
+
+    return _replaced(docs, boxed(docs, made=texts(F.col("doc_id").cast("long"), text_bytes())))
 
 
-def _routed_pass(docs: DataFrame, index: DataFrame, least: int, digest: bool, n_shards: int, salts: int = 8) -> DataFrame:
+def _routed_pass(docs: DataFrame, index: DataFrame, least: int, documents: int, digest: bool, n_shards: int, salts: int = 8) -> DataFrame:
     """Beyond the broadcast bound: hashes travel to their shard (each shard stands `salts` times, so that a hot line's
-    probes are dealt over that many tasks) and the positions to drop come back to the document."""
+    probes are dealt over that many tasks) and the positions to drop come back to the document, which its doc_id and the
+    MD5 of its text name."""
+
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = _ids(batch.column("doc_id")), []
-            for doc, mark, text in zip(ids, batch.column("mark").to_pylist(), batch.column("_bytes"), strict=True):
+        for batch in thrifty(batches):
+            rows = []
+            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark")), batch.column("_bytes"), strict=True):
                 _, at, keys = line_keys(text.as_py(), least)
                 hash_ = _hashes(keys).view(np.int64)
                 rows += [(int(h[0] % n_shards), int(doc % salts), int(h[0]), int(h[1]), doc, mark, i) for h, i in zip(hash_, at, strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "salt", "key", "print", "doc", "mark", "at"])
 
     def probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
         keep = np.zeros(lines.num_rows, bool)
         if shard.num_rows and lines.num_rows:
-            own = Shard.load(*(shard.column(c)[0].as_py() for c in ("sizes", "bits", "prints", "counts", "lasts")))
-            keep = own.drops(*(lines.column(c).to_numpy().view(np.uint64) for c in ("key", "print")), lines.column("doc").to_numpy())
+            own = Shard.load(*(shard.column(c)[0].as_py() for c in _ARRAYS))
+            keep = own.drops(*(lines.column(c).to_numpy().view(np.uint64) for c in ("key", "print")), lines.column("doc").to_numpy(), documents)
         return lines.select(["doc", "mark", "at"]).filter(pa.array(keep))
 
-    marked = _input(docs, digest).withColumn("mark", F.crc32(F.coalesce(F.col("_bytes"), F.lit(b""))))
-    lines = marked.select("doc_id", "mark", "_bytes").mapInArrow(probes, "shard int, salt int, key long, print long, doc long, mark long, at long")
+    marked = boxed(docs, doc_id=F.col("doc_id").cast("long"), _bytes=text_bytes())
+    marked = (marked.drop("row") if digest else marked).withColumn("mark", F.unhex(F.md5(F.coalesce(F.col("_bytes"), F.lit(b"")))))
+    lines = marked.select("doc_id", "mark", "_bytes").filter("doc_id is not null").mapInArrow(probes, "shard int, salt int, key long, print long, doc long, mark binary, at long")
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "doc long, mark long, at long")
+    gone = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "doc long, mark binary, at long")
     gone = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("_gone")).withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
-    both = marked.join(gone, (F.coalesce("doc_id", F.lit(NO_DOC)) == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
+    both = marked.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
+
+    def results(texts: pa.Array, gone: pa.Array) -> list[tuple[int, int, bytes]]:
+        return [_kept((t.as_py() or b"").split(b"\n"), g.as_py() or []) for t, g in zip(texts, gone, strict=True)]
+
+    if digest:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in thrifty(batches):
+                yield _digest(batch.column(0), results(batch.column(1), batch.column(2)))
+
+        return both.select("doc_id", "_bytes", "_gone").mapInArrow(run, DIGEST)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_kept((t.as_py() or b"").split(b"\n"), g.as_py() or []) for t, g in zip(batch.column("_bytes"), batch.column("_gone"), strict=True)]
-            yield _rows(batch, out, digest)
+    @F.arrow_udf(KEPT)
+    def texts(raw: pa.Array, gone: pa.Array) -> pa.Array:
+        return _texts(results(raw, gone))
 
-    return _output(docs, both.mapInArrow(finish, DIGEST if digest else box_schema(docs, KEPT)), digest)
+    return _replaced(docs, both.select("row", texts("_bytes", "_gone").alias("made")))
 
 
 def _run(docs: DataFrame, least: int, documents: int, broadcast_bytes: int, digest: bool) -> DataFrame:
-    n_shards = partitions(docs.sparkSession)
-    index = build_index(docs, least, documents)
+    index, n_shards = build_index(docs, least, documents)
     size = index.agg(F.sum(sum((F.length(c) for c in index.columns[1:]), F.lit(0)))).first()[0] or 0
     step = _broadcast_pass if size <= broadcast_bytes else _routed_pass
-    return step(docs, index, least, digest, n_shards)
+    return step(docs, index, least, documents, digest, n_shards)
 
 
 def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -139,13 +139,14 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, d.source, d.n_tokens, r.budget_tokens, CAST(CASE WHEN r.passes IS NULL THEN 1 ELSE r.passes + CASE WHEN y.inside THEN 1 ELSE 0 END END AS INTEGER) AS copies
         FROM d LEFT JOIN r USING (source) LEFT JOIN (SELECT DISTINCT * FROM y) y ON y.doc_id IS NOT DISTINCT FROM d.doc_id AND y.source = d.source""",
     "op4_line_dedup": r"""
-        WITH l AS (
-          SELECT d.doc_id, t.i, t.line, regexp_replace(t.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
-          FROM documents d, LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
-                                            generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS i) t),
-        k AS (SELECT doc_id, i, line, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-        c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
-        SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.last <> k.doc_id) AS n_dropped,
-               sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE c.last IS NULL OR c.last = k.doc_id), '')) AS kept_sha256
-        FROM k LEFT JOIN c USING (key) GROUP BY k.doc_id""",
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (
+          SELECT d.r, d.doc_id, t.i, t.line, regexp_replace(t.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
+          FROM d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS i) t),
+        k AS (SELECT r, doc_id, i, line, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        g AS (SELECT k.r, k.doc_id, k.i, k.line, coalesce(c.last <> k.doc_id, false) AS gone FROM k LEFT JOIN c USING (key))
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY r""",
 }
