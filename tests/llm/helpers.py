@@ -99,18 +99,17 @@ def components(rows, words, percent=80):
 
 
 def lines(rows, least=20, documents=3):
+    """A document is a doc_id; a null one counts for nothing and loses nothing."""
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
-    rank = lambda x: float("-inf") if x is None else x
-    held, last = defaultdict(int), {}
+    held = defaultdict(set)
     for d, t, *_ in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            if len(k) >= least:
-                held[k] += 1
-                last[k] = max(last.get(k, float("-inf")), rank(d))
+            if len(k) >= least and d is not None:
+                held[k].add(d)
     out = []
     for d, t, *_ in rows:
         all_ = (t or "").split("\n")
-        kept = [x for x in all_ if held[key(x)] < documents or last[key(x)] == rank(d)]
+        kept = [x for x in all_ if d is None or len(held[key(x)]) < documents or max(held[key(x)]) == d]
         out.append((d, len(all_), len(all_) - len(kept), sha("\n".join(kept))))
     return out
 

@@ -1,5 +1,6 @@
 """Packing, token counts, media and secrets: against the libraries, exact round trips and plain versions."""
 
+import math
 import random
 import re
 import zlib
@@ -33,6 +34,26 @@ def test_ids_are_the_librarys():
     assert [encode(t) for t in texts] == library_ids(texts)
 
 
+@pytest.mark.parametrize("char, n", [(" ", 1_000_000), ("\t", 1_000_000), ("\n", 1_000_000), ("\u3000", 1_000_000), ("a", 1_000_000), ("好", 1_000_000), (" ", 5_000_000)])
+def test_ids_of_very_long_runs(char, n):
+    encode = packing.encoder(None)
+    text = f"start {char * n}end"
+    assert [encode(text)] == library_ids([text]) and (n > 1_000_000 or encode(char * n) == library_ids([char * n])[0])
+
+
+def test_white_space_around_the_bound():
+    encode = packing.encoder(None)
+    texts = [f"a{' ' * n}b{c * n}" for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE, packing.LONG_SPACE + 1) for c in "\n <"]
+    assert [encode(t) for t in texts] == library_ids(texts)
+
+
+def test_a_table_with_very_long_texts(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([" " * 1_000_000, "\n" * 1_000_000 + "x", "a" * 1_000_000, "short"])]
+    got = packing.pack(H.frame(spark, rows)).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == {r[0]: len(library_ids([r[1]])[0]) + 1 for r in rows}
+    check_slots([(r["sequence_id"], r["offset"], r["length"]) for r in packing.pack(H.frame(spark, rows)).collect()])
+
+
 @pytest.mark.parametrize("rows", ROWS)
 def test_pack(spark, rows):
     got = packing.pack(H.frame(spark, rows), with_ids=True).collect()
@@ -130,6 +151,55 @@ def test_a_full_table_of_states_counts_the_same(pieces, monkeypatch):
         assert token_counts.count_tokens(run, text) == len(pieces.encode(text))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["the", " in", "ing", "  ", "a", "e", " ", "==", "\n", "é", "ʘ", "---", " " * 17]), max_size=14), st.integers(1, 7))
+def test_chunk_maps_compose(pieces, parts, chunk):
+    """Maps hold for any state, composition is associative, and a scan gives the counts of all prefixes."""
+    run = token_counts.compiled()
+    text = "".join(parts)
+    cut = [text[i : i + chunk] for i in range(0, len(text), chunk)]
+    entries = [run.start, run.start["a"][0], run.start[" "][0]["t"][0], run.start[" "][0][" "][0], run.start["-"][0]["-"][0]]
+    maps = [token_counts.Chunk(run, t) for t in cut]
+    for state in entries:
+        at, total = state, 0
+        for t, one in zip(cut, maps, strict=True):
+            step, n = one(at)
+            walked, m = token_counts.walk(at, t)
+            assert n == m and token_counts.same(step, walked)
+            at, total = step, total + n
+        for compose in (lambda a, b: token_counts.Then(a, b),):
+            left = right = None
+            for one in maps:
+                left = compose(left, one) if left else one
+            for one in reversed(maps):
+                right = compose(one, right) if right else one
+            for whole in (left, right):
+                if whole:
+                    end, n = whole(state)
+                    assert n == total and token_counts.same(end, at)
+    assert token_counts.prefix_counts(run, text, chunk) == [len(pieces.encode(text[: i + chunk])) for i in range(0, len(text), chunk)]
+
+
+def test_scan():
+    for n in range(20):
+        assert token_counts.scan([str(i) for i in range(n)], lambda a, b: a + b) == ["".join(map(str, range(i + 1))) for i in range(n)]
+
+
+def test_spaceless_texts_leave_little_behind(pieces, monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_STATES", 3000)
+    rng = random.Random(8)
+    run = token_counts.Transducer(token_counts.compiled().scores)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    held = []
+    for _ in range(6):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        assert token_counts.count_tokens(run, text, 1000) == len(pieces.encode(text))
+        held.append(len(run.states) + sum(map(len, run.words)))
+    assert held[1:] == held[:1] * 5 and len(run._fits) <= 2 * 3000 and not run.words
+    for text in ("你好" * 10_000, "word" + " " * 5000 + "x" * 5000):
+        assert token_counts.count_tokens(run, text, 777) == len(pieces.encode(text))
+
+
 # --- media ------------------------------------------------------------------------------------------------------------
 
 
@@ -309,3 +379,64 @@ def test_secret_query(spark):
         assert len(found) == len(rows)
     spans = secrets.secret_spans(H.frame(spark, [(1, "token=abcdefgh1", "en", "s", 1)]), None).collect()
     assert [(r["kind"], r["start"], r["end"], r["credential"]) for r in spans] == [("assign", 0, 15, "abcdefgh1")]
+
+
+def many_credentials():
+    """Rows with more credentials and ordinary tokens than the sample takes."""
+    rng = random.Random(12)
+    ordinary = lambda: "".join(rng.choice(["the", "an", "ing", "er", "st", "on", "wh", "un"]) for _ in range(rng.randint(7, 11)))
+    near = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 31)))
+    rows = [(i, f"see token = {h} {ordinary()}", "en", "s", 1) for i, h in enumerate(credentials(700, 3))]
+    rows += [(1000 + i, " ".join(ordinary() for _ in range(4)), "en", "s", 1) for i in range(900)]
+    return rows + [(3000 + i, f"{near()} here token = {near()}{near()} or {near()}, {near()}", "en", "s", 1) for i in range(60)]
+
+
+def test_the_same_formats_for_any_partitioning(spark):
+    rows = many_credentials()
+    found = [{tuple(r) for r in secrets.secret_digest(H.frame(spark, rows, n)).collect()} for n in (1, 4, 16)]
+    assert found[0] == found[1] == found[2] and sum("like_" in r[5] for r in found[0]) > 50
+    value = [v for _, t, *_ in rows[:50] for v in t.split()] + ["é", ""]
+    df = spark.createDataFrame([(v,) for v in value], "v string").selectExpr("v", "xxhash64(v) AS h")
+    assert all(secrets._order(r["v"])[0] == r["h"] for r in df.collect())
+
+
+def plain_added(text, formats):
+    """Added spans, every token against every base span, and likelihoods term by term."""
+
+    def likelihood(automaton, token):
+        state, terms = 0, []
+        for c in token:
+            symbol = next((k for k, members in secrets._CLASSES.items() if c in members), c)
+            target, term = automaton.moves[state].get(symbol, (state, automaton.unseen))
+            state = target
+            terms.append(term)
+        return math.fsum([*terms, automaton.stops[state]])
+
+    base, out = secrets.base_spans(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text):
+        if any(a < m.end() and m.start() < b for a, b, *_ in base):
+            continue
+        gains = {k: likelihood(a, m[0]) - likelihood(formats.background, m[0]) for k, (a, least) in formats.kinds.items() if len(m[0]) >= least}
+        if gains and max(gains.values()) >= secrets.GAIN * len(m[0]):
+            out.append((m.start(), m.end(), "like_" + max(gains, key=lambda k: (gains[k], k)), m[0]))
+    return out
+
+
+def test_added_spans_are_those_of_brute_force(spark):
+    rows = many_credentials()
+    formats = secrets.learn(H.frame(spark, rows))
+    found = 0
+    for _, text, *_ in rows:
+        base, added = secrets.scan(text, formats)
+        assert base == secrets.base_spans(text) and added == plain_added(text, formats)
+        found += len(added)
+    assert found > 50
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = " ".join(f"token={'abcdefgh' + str(i)} {'x' * 20}{i}" for i in range(40_000))
+    began = time.perf_counter()
+    assert len(list(secrets._candidates(text, secrets.base_spans(text)))) == 40_000
+    assert time.perf_counter() - began < 10

@@ -126,6 +126,27 @@ def test_lines(spark, rows, bound):
     H.same(df, H.lines(rows), "doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@pytest.mark.parametrize("bound", [lines.BROADCAST_BYTES, -1])
+def test_lines_of_documents_on_several_rows(spark, bound):
+    """Three rows of two documents are two documents; null ids are none. SQL, brute force and operator agree."""
+    import duckdb
+    import pandas as pd
+
+    from spandrel.llm.queries import ORACLES
+
+    a, b, c = (f"{x} line of more than twenty characters" for x in ("first", "second", "third"))
+    rows = [(1, f"{a}\n{b}"), (1, f"{a}\n{b}\nx"), (2, f"{a}\n{b}\n{c}"), (3, f"{b}\n{c}"), (3, f"{c}\n{b}"), (None, f"{a}\n{b}\n{c}"), (None, b), (None, None), (2, f"{c}\n{a}"), (-5, c), (-5, c)]
+    rows = [(d, t, "en", "s", 0) for d, t in rows]
+    want = H.lines(rows)
+    assert sum(r[2] for r in want) == 7
+    H.same(lines.line_digest(H.frame(spark, rows), broadcast_bytes=bound), want, "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}))
+    got = db.sql(ORACLES["op4_line_dedup"])
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted((tuple(dict(zip(got.columns, r, strict=True))[c] for c in ("doc_id", "n_lines", "n_dropped", "kept_sha256")) for r in got.fetchall()), key=order) == sorted(want, key=order)
+
+
 @pytest.mark.parametrize("bound", [lines.BROADCAST_BYTES, -1])
 def test_line_texts(spark, bound):
     shared = "a line of more than twenty characters"
@@ -145,6 +166,7 @@ def test_perfect_hash():
         back = lines.PerfectHash.load(*made.dump())
         for hash_ in (made, back):
             assert sorted(hash_.slots(keys).tolist()) == list(range(len(keys)))
+        assert len(keys) < 1000 or 8 * (made.words.size + made.ranks.size) < 0.7 * len(keys)
         others = back.slots(rng.integers(1 << 63, 1 << 64, 100, dtype=np.uint64))
         assert ((others >= -1) & (others < max(1, len(keys)))).all()
 
