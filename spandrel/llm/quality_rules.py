@@ -8,7 +8,8 @@ is an ordered CASE expression. Nothing on this path runs Python on the executors
 
 Defined results: a null or wordless text has zeros and fails the base rules; a null label, or one whose document is
 missing, teaches nothing, and a doc_id on several rows teaches once, with its smallest text; without labels of both kinds the list is empty and the base rules decide alone; rows of one
-doc_id, and a null doc_id, are judged each by their own text; an empty table gives an empty result.
+doc_id, and a null doc_id, are judged each by their own text; the rules do not depend on how rows are dealt; a very long
+text is one row's arrays of hashes, never cut; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,31 +49,35 @@ def _fenced(value: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Adds the statistics of `_text` to `docs`. All arrays live in one row's projection; the text is never exploded.
+    """Adds the statistics of `_text` to `docs`. The text is never exploded, and of its words only their hashes are kept:
+    at most two arrays of longs of a row live at once, 8 bytes a word each.
 
     Repeated three-word windows: a window's 64-bit hash, its lowest bits replaced by its position, is sorted as a long;
-    neighbours that share the upper bits and, looked up by position, the whole hash are repeats.
+    neighbours that share the upper bits and, looked up by position, the hashes of all three words are repeats.
     """
     rows = docs.withColumn("_bare", F.btrim("_text", F.lit(" \t\n\x0b\x0c\r")))
-    rows = rows.withColumn("_w", F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split("_bare", SPACE)))
-    rows = rows.withColumn("n_words", F.size("_w").cast("long"))
-    rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("_g", F.expr("CASE WHEN n_words < 3 THEN array() ELSE transform(slice(_h, 1, size(_h) - 2), (h, i) -> xxhash64(h, get(_h, i + 1), get(_h, i + 2))) END"))
-    rows = rows.withColumn("_b", F.expr("length(bin(n_words))"))
-    rows = rows.withColumn("_s", F.expr("sort_array(transform(_g, (g, i) -> shiftleft(shiftright(g, _b), _b) | i))"))
-    same = "shiftright({0}, _b) = shiftright({1}, _b) AND get(_g, cast({0} & (shiftleft(1L, _b) - 1) as int)) = get(_g, cast({1} & (shiftleft(1L, _b) - 1) as int))"
-    # a window's position where it equals a neighbour, else -1
-    rows = rows.withColumn("_p", F.expr(f"sort_array(transform(filter(_s, (x, k) -> (k > 0 AND {same.format('x', 'get(_s, k - 1)')}) OR (k + 1 < size(_s) AND {same.format('x', 'get(_s, k + 1)')})), x -> x & (shiftleft(1L, _b) - 1)))"))
-    covered = F.expr("cast(aggregate(_p, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n) as long)")
+    rows = rows.withColumn("_h", F.when(F.col("_bare") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("_bare", SPACE), lambda w: F.xxhash64(w))))
+    rows = rows.withColumn("n_words", F.size("_h").cast("long")).withColumn("_b", F.expr("length(bin(n_words))"))
+    window = "shiftleft(shiftright(xxhash64(h, get(_h, i + 1), get(_h, i + 2)), _b), _b) | i"
+    rows = rows.withColumn("_s", F.expr(f"CASE WHEN n_words < 3 THEN array() ELSE sort_array(transform(slice(_h, 1, size(_h) - 2), (h, i) -> {window})) END"))
+    place = "cast({} & (shiftleft(1L, _b) - 1) as int) + {}"
+    same = "shiftright({0}, _b) = shiftright({1}, _b)" + "".join(f" AND get(_h, {place.format('{0}', j)}) = get(_h, {place.format('{1}', j)})" for j in range(3))
+    # a window's position where it equals a neighbour
+    twice = f"filter(_s, (x, k) -> (k > 0 AND {same.format('x', 'get(_s, k - 1)')}) OR (k + 1 < size(_s) AND {same.format('x', 'get(_s, k + 1)')}))"
+    found = f"sort_array(transform({twice}, x -> x & (shiftleft(1L, _b) - 1)))"
+    covered = F.expr(f"cast(aggregate({found}, named_struct('n', 0L, 'last', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n) as long)")
     rows = rows.withColumn("n_repeat_words", _fenced(covered))
-    rows = rows.withColumn("word_chars", F.length(F.concat_ws("", "_w")).cast("long"))
+    bare = F.col("_text")
+    for space in " \t\n\x0b\x0c\r":
+        bare = F.replace(bare, F.lit(space), F.lit(""))
+    rows = rows.withColumn("word_chars", F.length(bare).cast("long"))
     rows = rows.withColumn("n_symbols", F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"))
     rows = rows.withColumn("_l", F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     rows = rows.withColumn("n_lines", F.size("_l").cast("long")).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     rows = rows.withColumn("n_distinct", F.size(F.array_distinct("_h")).cast("long"))
     rows = rows.withColumn("n_upper", F.regexp_count("_text", F.lit("[A-Z]")).cast("long"))
     rows = rows.withColumn("n_marks", F.regexp_count("_text", F.lit("[!?;:]")).cast("long"))
-    return rows.drop("_bare", "_w", "_h", "_g", "_b", "_s", "_p", "_l")
+    return rows.drop("_bare", "_h", "_b", "_s", "_l")
 
 
 def base_failed() -> Column:
@@ -139,7 +144,7 @@ def _prune(rows: DataFrame, tests: list[Test]) -> tuple[Rule, float]:
 def learn(labelled: DataFrame) -> list[Rule]:
     """A decision list from a stored table of statistics with y (1: keep, 0: reject) and `pruning` (boolean)."""
     rows = labelled.filter("NOT base_failed")
-    found = rows.agg(*(F.percentile_approx(F.expr(e), [i / BINS for i in range(1, BINS)], 2000).alias(f) for f, e in RATIOS.items())).first()
+    found = rows.agg(*(F.percentile(F.expr(e), [i / BINS for i in range(1, BINS)]).alias(f) for f, e in RATIOS.items())).first()  # exact, of a bounded sample
     steps = {f: sorted(set(found[f] or [])) for f in RATIOS}
     cuts = {f: [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for f, x in steps.items()}  # between what occurs
     rules: list[Rule] = []
