@@ -6,11 +6,12 @@ step: sample i of all of them is read at once. Where a seek table names every fr
 otherwise one frame of every stream at a time. Out come PCM blocks with their sample and byte offsets.
 
 The writer stores bytes as 8-bit samples in blocks of 576 with a seek point for each frame, and picks, frame by frame, the
-smallest of constant, verbatim, fixed predictors and (if asked) linear prediction.
+smallest of constant, verbatim, fixed predictors and linear prediction.
 
 Defined results: a null text counts as empty, which is one block of padding; any bytes are stored as they are; rows are
 treated each, whatever their doc_id, and equal texts give equal streams; an empty table gives an empty result; other
-columns are ignored. A damaged stream raises `FlacError`.
+columns are ignored. A very long text is coded in groups of frames, and its seek table names fewer of them. A damaged
+stream raises `FlacError`.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ PAD = 255
 #: Frames that are coded in step.
 GROUP = 1024
 PARTITION_ORDER = 2
+#: Seek points of one table, whose size has 24 bits; a longer stream names every second frame, or every third, and so on.
+MOST_POINTS = ((1 << 24) - 1) // 18
+#: Fixed predictors that stored texts may use, beside linear prediction.
+ORDERS = (0, 1)
 _PARAMETERS = range(2, 9)
 
 
@@ -128,15 +133,26 @@ LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 4, 12, 9
 
 
 def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised least-squares predictors of each frame, and their residuals."""
-    n = LPC_ORDER
-    lagged = np.stack([x[:, n - 1 - j : x.shape[1] - 1 - j] for j in range(n)], 2).astype(float)
-    gram = np.einsum("fij,fik->fjk", lagged, lagged) + np.eye(n) * 1e-3
-    coefs = np.linalg.solve(gram, np.einsum("fij,fi->fj", lagged, x[:, n:].astype(float))[:, :, None])[:, :, 0]
+    """Quantised predictors of each frame, by Levinson and Durbin's recursion over its autocorrelations, and their
+    residuals. The sums are whole numbers and the rest is done frame by frame, so equal frames have equal predictors."""
+    n, size = LPC_ORDER, x.shape[1]
+    r = [np.einsum("fi,fi->f", x[:, k:], x[:, : size - k]).astype(float) for k in range(n + 1)]
+    error = r[0] + 1e-3
+    coefs: list[np.ndarray] = []
+    for i in range(n):
+        rest = r[i + 1]
+        for j, c in enumerate(coefs):
+            rest = rest - c * r[i - j]
+        k = rest / error
+        coefs = [c - k * coefs[i - 1 - j] for j, c in enumerate(coefs)] + [k]
+        error = error * (1 - k * k) + 1e-3
     limit = (1 << (LPC_PRECISION - 1)) - 1
-    q = np.clip(np.rint(coefs * (1 << LPC_SHIFT)), -limit, limit).astype(np.int32)
+    q = np.clip(np.rint(np.stack(coefs, 1) * (1 << LPC_SHIFT)), -limit, limit).astype(np.int32)
+    guess = np.zeros((len(x), size - n), np.int32)  # of 20 bits at most
+    for j in range(n):
+        guess += q[:, j : j + 1] * x[:, n - 1 - j : size - 1 - j]
     residual = x.copy()
-    residual[:, n:] -= (np.einsum("fij,fj->fi", lagged.astype(np.int64), q.astype(np.int64)) >> LPC_SHIFT).astype(np.int32)
+    residual[:, n:] -= guess >> LPC_SHIFT
     return q, residual
 
 
@@ -221,11 +237,12 @@ def encode_streams(payloads: list[bytes], orders: tuple[int, ...] = (0, 1, 2), l
         info = BLOCK.to_bytes(2) * 2 + min(sizes).to_bytes(3) + max(sizes).to_bytes(3) + rate.to_bytes(8) + hashlib.md5(samples[at : at + n].tobytes()).digest()
         points = b""
         if seek:
-            table = np.empty((n, 18), np.uint8)
-            table[:, :8] = (np.arange(n, dtype=np.uint64) * np.uint64(BLOCK)).astype(">u8")[:, None].view(np.uint8)
-            table[:, 8:16] = (np.cumsum(sizes) - sizes).astype(">u8")[:, None].view(np.uint8)
+            named = np.arange(0, n, -(-n // MOST_POINTS))
+            table = np.empty((len(named), 18), np.uint8)
+            table[:, :8] = (named.astype(np.uint64) * np.uint64(BLOCK)).astype(">u8")[:, None].view(np.uint8)
+            table[:, 8:16] = (np.cumsum(sizes) - sizes)[named].astype(">u8")[:, None].view(np.uint8)
             table[:, 16:] = np.frombuffer(BLOCK.to_bytes(2), np.uint8)
-            points = b"\x83" + (18 * n).to_bytes(3) + table.tobytes()
+            points = b"\x83" + table.size.to_bytes(3) + table.tobytes()
         out.append(b"fLaC" + (b"\x00" if seek else b"\x80") + len(info).to_bytes(3) + info + points + b"".join(own))
         at += n
     return out
@@ -481,7 +498,7 @@ def to_media(docs: DataFrame) -> DataFrame:
         for batch in thrifty(batches):
             texts = batch.column(1).to_pylist()
             padded = [payload(t) for t in texts]
-            media = [m for a, b in _groups([len(p) for p in padded]) for m in encode_streams(padded[a:b])]
+            media = [m for a, b in _groups([len(p) for p in padded]) for m in encode_streams(padded[a:b], ORDERS, linear=True)]
             columns = [batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
 
@@ -489,11 +506,14 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, list]]:
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[tuple[int, int, int, bytes]]]]:
+    """Of each stream of a batch its row, its bytes and its PCM blocks: (first sample, first byte of its frame in the
+    stream, samples, unsigned bytes)."""
     media = batch.column("media").to_pylist()
     for a, b in _groups([len(m) for m in media]):
         for i, (samples, blocks) in zip(range(a, b), decode_streams(media[a:b]), strict=True):
-            yield i, media[i], samples, blocks
+            raw = (samples.view(np.uint8) ^ 0x80).tobytes()
+            yield i, media[i], [(at, byte, n, raw[at : at + n]) for at, byte, n in blocks]
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -501,10 +521,8 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in thrifty(batches):
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for i, _, samples, blocks in _decoded(batch):
-                raw = (samples.view(np.uint8) ^ 0x80).tobytes()
-                rows += [(ids[i], k, at, byte, n, raw[at : at + n]) for k, (at, byte, n) in enumerate(blocks)]
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[i], k, *block) for i, _, blocks in _blocks(batch) for k, block in enumerate(blocks)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "block", "sample_offset", "byte_offset", "samples", "pcm"])
@@ -512,15 +530,24 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, byte_offset long, samples int, pcm binary")
 
 
+def _payload_of(blocks: list[tuple[int, int, int, bytes]]) -> bytes:
+    """The bytes that blocks hold together, each at its own sample offset."""
+    out = bytearray(sum(n for _, _, n, _ in blocks))
+    for at, _, n, pcm in blocks:
+        out[at : at + n] = pcm
+    return bytes(out)
+
+
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Every text stored as FLAC and read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256 and feature."""
+    """Every text stored as FLAC and read back from its PCM blocks: doc_id, n_bytes, payload_bytes, payload_sha256,
+    tail_crc32, media_bytes, media_sha256 and feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in thrifty(batches):
             rows = []
-            for _, stream, samples, _ in _decoded(batch):
-                raw = (samples.view(np.uint8) ^ 0x80).tobytes()
+            for _, stream, blocks in _blocks(batch):
+                raw = _payload_of(blocks)
+                samples = (np.frombuffer(raw, np.uint8) ^ 0x80).view(np.int8)
                 rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), features(samples)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
