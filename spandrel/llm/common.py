@@ -20,7 +20,7 @@ from ..ship import ship
 #: Bytes that separate words: space, and 0x09 to 0x0D.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 #: Most bytes of one Arrow batch sent to a Python worker, so that very long texts do not make a batch unbounded.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text whose scan's arrays, many times as large, are held at once.
 SCAN_BYTES = 2 << 20
 
@@ -30,11 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound the bytes of Arrow batches, so that batches of long texts stay small, and see to it that workers can import
     this package. The operators need that bound when their result is consumed, so the session keeps it."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def _trimmer():

@@ -252,7 +252,7 @@ def repeated_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
         doc, mark, pairs = _bucket(table.column("blob").to_pylist(), width)
         return pa.table([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(pairs, pa.binary())], ["doc_id", "mark", "pairs"])
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SHIP_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).filter("doc_id is not null and text is not null")
     found = rows.mapInArrow(ship, "bucket int, blob binary").groupBy("bucket").applyInArrow(sort, "doc_id long, mark long, pairs binary")
     return found.groupBy("doc_id", "mark").agg(F.collect_list("pairs").alias("ranges"))  # bounded by the text's length
@@ -296,7 +296,7 @@ def substring_digest(docs: DataFrame, width: int = 13) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SHIP_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(packed, "_doc long, _mark long, _text binary")
     return _joined(rows, docs, width).select("_doc", "_text", "_ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
