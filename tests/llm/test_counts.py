@@ -247,6 +247,16 @@ def test_long_streams_number_their_frames():
     assert [media_flac._coded_number(n).hex() for n in (0, 127, 128, 2047, 2048, 65536)] == ["00", "7f", "c280", "dfbf", "e0a080", "f0908080"]
 
 
+def test_more_frames_than_seek_points(monkeypatch):
+    payload = random.Random(1).randbytes(576 * 50)
+    whole = media_flac.read_metadata(media_flac.encode_streams([payload])[0])
+    monkeypatch.setattr(media_flac, "MOST_POINTS", 7)
+    stream = media_flac.encode_streams([payload])[0]
+    points = media_flac.read_metadata(stream).points
+    assert len(whole.points) == 50 and points.tolist() == whole.points[::8].tolist()
+    assert back(stream)[0] == payload and len(back(stream)[1]) == 50
+
+
 def test_damage_is_found():
     stream = media_flac.encode_streams([SIGNALS["text"]])[0]
     start = stream.index(b"\xff\xf8")
@@ -307,6 +317,28 @@ def test_media_query(spark, rows):
     assert len({(r["payload_sha256"], r["media_sha256"], r["feature"], r["media_bytes"]) for r in rows_}) == len({r["payload_sha256"] for r in rows_})
 
 
+def test_the_query_reads_linear_subframes_through_blocks(spark, monkeypatch):
+    """Streams of the query hold linear subframes, which are smaller, and its digest is what their blocks say."""
+    docs = H.frame(spark, H.corpus(1))
+    media = {r["doc_id"]: bytes(r["media"]) for r in media_flac.to_media(docs).collect()}
+    kinds = set()
+    for stream in media.values():
+        for _, byte, _ in back(stream)[1]:
+            header, _ = media_flac._frame_header(stream, byte)
+            kinds.add(stream[byte + header] >> 1 & 63)
+    assert 32 + media_flac.LPC_ORDER - 1 in kinds
+    pcm = {}
+    for r in media_flac.pcm_blocks(media_flac.to_media(docs)).collect():
+        pcm.setdefault(r["doc_id"], {})[r["sample_offset"]] = bytes(r["pcm"])
+    for r in media_flac.media_digest(docs).collect():
+        raw = b"".join(v for _, v in sorted(pcm[r["doc_id"]].items()))
+        assert (r["payload_bytes"], r["payload_sha256"]) == (len(raw), __import__("hashlib").sha256(raw).hexdigest())
+        assert r["media_sha256"] == __import__("hashlib").sha256(media[r["doc_id"]]).hexdigest()
+    batch = media_flac.to_media(H.frame(spark, H.corpus(1)[:1])).toArrow().to_batches()[0]
+    (_, _, blocks) = next(media_flac._blocks(batch))
+    assert media_flac._payload_of(blocks[::-1]) == media_flac._payload_of(blocks) != media_flac._payload_of([(a, b, n, bytes(n)) for a, b, n, _ in blocks])
+
+
 def test_pcm_blocks(spark):
     media = media_flac.to_media(H.frame(spark, H.corpus(1)[:20]))
     blocks = media_flac.pcm_blocks(media).collect()

@@ -52,6 +52,36 @@ def test_rules_hold_on_documents_they_did_not_see(spark):
     assert not any("Python" in x or "Arrow" in x for x in [quality_rules.quality_verdicts(docs, seen)._jdf.queryExecution().executedPlan().toString()])
 
 
+def plain_verdict(text, rules):
+    """The list replayed rule by rule on plainly counted statistics."""
+    n, chars, symbols, dup, repeat = plain_statistics(text)
+    w = H.WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if H.WORD.search(x)]
+    value = {
+        "word_length": chars / max(n, 1), "symbol_rate": symbols / max(n, 1), "dup_line_rate": dup / max(len(lines), 1), "repeat_rate": repeat / max(n, 1), "words": float(n),
+        "upper_rate": len(re.findall("[A-Z]", text or "")) / max(chars, 1), "mark_rate": len(re.findall("[!?;:]", text or "")) / max(n, 1), "distinct_rate": len(set(w)) / max(n, 1),
+    }
+    if n < 50 or 100 * repeat > 50 * n:
+        return False
+    return not any(all((value[t.feature] > t.threshold) == t.above for t in rule) for rule in rules)
+
+
+def test_rules_do_not_depend_on_partitions_and_replay_plainly(spark):
+    docs, labels = tables(spark)
+    made = []
+    for n in (1, 4, 16):
+        rules = quality_rules.learn(quality_rules.labelled_statistics(docs.repartition(n), labels.repartition(n)))
+        made.append((rules, {tuple(r) for r in quality_rules.quality_verdicts(docs.repartition(n), labels.repartition(n)).collect()}))
+    assert made[0] == made[1] == made[2]
+    rules, rows = made[0]
+    several = (*rules, (quality_rules.Test("upper_rate", False, 0.02), quality_rules.Test("words", True, 120.0)), (quality_rules.Test("distinct_rate", True, 0.9),))
+    stats = quality_rules.statistics(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")))
+    judged = {r["doc_id"]: r["kept"] for r in stats.select("doc_id", (~quality_rules.base_failed() & quality_rules.verdict(list(several))).alias("kept")).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        assert judged[r["doc_id"]] == plain_verdict(r["text"], several)
+        assert next(x[-1] for x in rows if x[0] == r["doc_id"]) == plain_verdict(r["text"], rules)
+
+
 def test_rules_without_labels(spark):
     docs, labels = tables(spark)
     assert quality_rules.learn(quality_rules.labelled_statistics(docs, labels.filter("quality = 1"))) == []
@@ -67,6 +97,40 @@ def test_classifier_held_out_accuracy(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
 
 
+def plain_features(text):
+    """The classifier's features of one text, counted plainly over its bytes."""
+    raw = (text or "").encode()
+    w = raw.split()
+    size, n = max(1, len(raw)), len(w)
+    share = lambda members: sum(b in members for b in raw) / size
+    pairs = list(zip(w, w[1:], strict=False))
+    kept = [x for x in raw.split(b"\n") if x.strip()]
+    marks = b"#$%&*@^~_+=<>/\\`" + b"|{}[]();:" + b"!?"
+    return [
+        math.log1p(n), sum(map(len, w)) / max(1, n), share(bytes(range(65, 91))), share(b"0123456789"), share(b"#$%&*@^~_+=<>/\\`"), share(b"."), share(b","), share(bytes(range(128, 256))),
+        share(b"\n"), share(bytes(x for x in range(32) if x not in (9, 10, 13))), len(set(w)) / max(1, n), len(set(pairs)) / len(pairs) if pairs else 0, max(Counter(w).values(), default=0) / max(1, n),
+        sum(len(x) <= 3 for x in w) / max(1, n), sum(x[-1] in marks for x in w) / max(1, n), 1 - len(set(kept)) / len(kept) if kept else 0, share(b"|{}[]();:"), share(b"!?"),
+    ]
+
+
+def test_features_and_scores_are_the_plain_ones(spark):
+    """Features in slices equal plain counts, and a score is the sigmoid of the table entries, added one by one."""
+    texts = [r[1] for r in H.corpus(1)] + ["", " ", None, "a", "a a", "x! y? (z) #", "ä\n\nä\n"]
+    raw = [None if t is None else t.encode() for t in texts]
+    got = quality_gam.features(raw)
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-12)
+    rng = np.random.default_rng(3)
+    model = quality_gam.fit(np.repeat(got, 8, 0) + rng.normal(0, 0.01, (8 * len(got), got.shape[1])), (rng.random(8 * len(got)) < 0.5).astype(float), rounds=5, pair_rounds=3)
+    assert model.pairs
+    for x, score in zip(got, model.score(got), strict=True):
+        z = model.intercept
+        for edge, table, value in zip(model.edges, model.tables, x, strict=True):
+            z += table[sum(value >= e for e in edge)]
+        for (a, b), table in model.pairs.items():
+            z += table[sum(x[a] >= e for e in model.coarse[a]), sum(x[b] >= e for e in model.coarse[b])]
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-12
+
+
 def test_held_out_labels_teach_nothing(spark):
     docs, labels = tables(spark)
     lied = labels.withColumn("quality", F.when(quality_gam.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
