@@ -13,12 +13,13 @@ and then only what that did not join to the largest component is searched with a
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than a shingle give one
 shingle, the whole sequence; rows of one `doc_id` count as the same document and share its component; a null `doc_id`
-links with nothing, has a null component and is kept; an empty table gives an empty result; other columns are ignored.
+links with nothing, has a null component and is kept; texts are scanned whole, in slices, of which one longer than a
+slice is one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SCAN_BYTES, Words, bounded_batches, boxed, discard, expand, mix, slices, squeeze, store, text_bytes, thrifty, unboxed
-from .components import components
+from .components import components, salted_join
 
 BANDS, ROWS = 48, 6
-BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 512
+#: Candidates of a broadcast: two longs each. More travel to the texts by a shuffle.
+BROADCAST_NODES = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -128,7 +131,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
     rows = classes.select("rep", "bands").mapInArrow(run, "band long, rep long")
     low = rows.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("high")).filter("v <> high").select("band", "v")
-    return rows.join(low, "band").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+    return salted_join(rows, low, "band", "rep").filter("rep <> v").select(F.col("rep").alias("u"), "v")
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -170,23 +173,34 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def _members(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the classes that have candidates: node, cluster, n, shingles (uint64). Texts travel compressed
-    to the candidates, which are the side that is hashed: no text is sorted, and at any size the plan is the same."""
+    """The shingle sets of the classes that have candidates: node, cluster, n, shingles (uint64). Few enough candidates are
+    broadcast, and no text travels. More than that meet the texts, compressed, in a hash join of which the candidates are
+    the side that is hashed: no text is sorted."""
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in thrifty(batches):
             texts = [squeeze(t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["node", "_text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in thrifty(batches):
-            sets = shingle_sets([expand(t) for t in batch.column("_text").to_pylist()], words)
-            columns = [batch.column("node"), batch.column("root"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "n", "shingles"])
+    def sets(opened: Callable[[bytes], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in thrifty(batches):
+                found = shingle_sets([opened(t or b"") for t in batch.column("_text").to_pylist()], words)
+                columns = [batch.column("node"), batch.column("root"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "n", "shingles"])
+
+        return run
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes()).mapInArrow(squeezed, "node long, _text binary")
-    all_ = clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    return rows.join(all_.hint("shuffle_hash"), "node").select("node", "root", "_text").mapInArrow(run, "node long, cluster long, n long, shingles binary").filter("n > 0")
+    made = "node long, cluster long, n long, shingles binary"
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("_text"))
+    known = store(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    if known.count() <= BROADCAST_NODES:
+        out = texts.join(F.broadcast(known), "node").select("node", "root", "_text").mapInArrow(sets(lambda t: t), made)
+    else:
+        out = texts.mapInArrow(squeezed, "node long, _text binary").join(known.hint("shuffle_hash"), "node").select("node", "root", "_text").mapInArrow(sets(expand), made)
+    members = store(out.filter("n > 0"), "members")
+    discard(known)
+    return members
 
 
 def _count_blocks(n: str, sets: str) -> Column:
@@ -239,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = signed.filter("doc_id is not null and set_key is not null")
     classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "classes")
     clusters = components(_candidates(classes))
-    members = store(_members(docs, clusters, words), "members")
+    members = _members(docs, clusters, words)
     confirmed = _confirmed(members, percent)
     rows = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     own = known.join(rows, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
