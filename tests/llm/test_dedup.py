@@ -76,7 +76,7 @@ def near_group(n, seed=0):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(2_000_000, 4096), (3000, 4096), (2_000_000, 40)])
+@pytest.mark.parametrize("blocks", [(2_000_000, 4096), (3000, 4096), (2_000_000, 40), (2_000_000, 7)])
 def test_a_large_group_of_near_copies(spark, monkeypatch, blocks):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", blocks[0])
     monkeypatch.setattr(near_dup, "BLOCK_SETS", blocks[1])
@@ -84,6 +84,35 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, blocks):
     H.same(near_dup.near_duplicates(H.frame(spark, rows), 2), H.components(rows, 2), "doc_id", "n_shingles", "component_id", "kept")
 
 
+@pytest.mark.parametrize("most", [near_dup.BROADCAST_NODES, 0])
+def test_candidates_are_broadcast_or_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "BROADCAST_NODES", most)
+    H.same(near_dup.near_duplicates(H.frame(spark, H.corpus(7)), 2), H.components(H.corpus(7), 2), "doc_id", "n_shingles", "component_id", "kept")
+
+
+def test_recall_over_brute_force(spark):
+    """Every document whose id is divisible by 20 against all, exactly: no link between different sets is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    component = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 2).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets = dict(zip([d for d, _ in rows], near_dup.shingle_sets([(t or "").encode() for _, t in rows], 2), strict=True))
+    _, codes = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+    ends = np.cumsum([len(s) for s in sets.values()])
+    mark, ids = np.zeros(codes.max() + 1, np.int64), np.array(list(sets))
+    begins = ends - [len(s) for s in sets.values()]
+    links = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        own = codes[begins[i] : ends[i]]
+        mark[own] = 1
+        sums = np.concatenate(([0], np.cumsum(mark[codes])))
+        common = sums[ends] - sums[begins]
+        mark[own] = 0
+        near = (100 * common >= 80 * (len(own) + ends - begins - common)) & (common > 0)
+        links += int(near.sum()) - 1
+        assert {component[d] for d in ids[near].tolist()} <= {component[int(ids[i])]}
+    assert links > 100
+
+
 def test_drop_near_duplicates(spark):
     rows = H.corpus(4)
     kept = {r[0] for r in H.components(rows, 5) if r[3]}
