@@ -12,15 +12,16 @@ import logging
 import os
 import sys
 import time
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .control import Resources, Token, bounded, on_interrupt
+from .control import Resources, Token, bounded, on_interrupt, perform
 from .functions.report import LEVELS, exit_code, frame_path, friendly, restored_path
 from .operators import reports
 from .operators.codecs import FrameError, default_registry
-from .operators.frames import Options, compress, decompress, inspect
+from .operators.frames import Options, compress, decompress, inspect, self_test
 from .plans import config as settings
 from .ship import ship
 from .sources.files import check_target, from_bytes, read_files, restore_attributes
@@ -69,8 +70,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def session() -> SparkSession:
-    spark = SparkSession.builder.master("local[*]").appName("spandrel").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    """The session at hand, or a local one."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        spark = SparkSession.builder.master("local[*]").appName("spandrel").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     return spark
 
@@ -99,9 +103,14 @@ def _put(path: str, content: bytes, force: bool) -> None:
         held.mark_complete()
 
 
+def warning(line: str, colour: bool) -> str:
+    """A warning line, yellow on a terminal."""
+    return f"\x1b[33mWarning: {line}\x1b[0m" if colour else f"Warning: {line}"
+
+
 def _warn(lines: list[str]) -> None:
     for line in lines:
-        print(f"\x1b[33mWarning: {line}\x1b[0m" if sys.stderr.isatty() else f"Warning: {line}", file=sys.stderr)
+        print(warning(line, sys.stderr.isatty()), file=sys.stderr)
 
 
 def run_compress(args: argparse.Namespace, token: Token) -> None:
@@ -112,7 +121,7 @@ def run_compress(args: argparse.Namespace, token: Token) -> None:
     for path in args.files or [None]:
         began = time.monotonic()
         token.check()
-        options = Options(plugin=args.plugin).with_weights(*LEVELS[args.level]).with_timeout(args.timeout)
+        options = Options(plugin=args.plugin).with_weights(*LEVELS[args.level]).with_timeout(args.timeout).with_cancel_token(token)
         target = None if args.stdout else args.output if path is None else _target(path, args.output, frame_path)
         if path is None:
             rows = from_bytes(spark, sys.stdin.buffer.read()).withColumns({"error_kind": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")})
@@ -121,7 +130,7 @@ def run_compress(args: argparse.Namespace, token: Token) -> None:
                 raise FrameError("InvalidInput", f"Invalid input: {why}")
             rows, options = read_files(spark, [path]), options.with_file_metadata()
         framed = compress(rows, options=options)
-        row = bounded(spark, lambda: _one(framed, "frame", F.octet_length("data").alias("size"), "error_kind", "error_message"), options.timeout, token)
+        row = perform(spark, lambda: _one(framed, "frame", F.octet_length("data").alias("size"), "error_kind", "error_message"), options)  # noqa: B023
         if target is None:
             sys.stdout.buffer.write(row["frame"])
             sys.stdout.buffer.flush()
@@ -192,7 +201,7 @@ def run_config(args: argparse.Namespace, token: Token) -> None:
         print(settings.dump(settings.load(args.config)))
     else:
         if not args.yes:
-            print("This will reset all configuration to defaults. Continue? (y/N): ", end="", flush=True)
+            print("All settings go back to their defaults. Go on? (y/N): ", end="", flush=True)
             if sys.stdin.readline().strip().lower() != "y":
                 print("Reset cancelled")
                 return
@@ -218,9 +227,7 @@ def run_plugins(args: argparse.Namespace, token: Token) -> None:
     if args.action == "info":
         print(reports.human_codec(codec.info))
         return
-    from .plans.catalogue import codec_self_test
-
-    row = codec_self_test(session(), "").filter(F.col("name") == codec.info.name).first()
+    row = self_test(session(), registry).filter(F.col("name") == codec.info.name).first()
     print(f"Testing plugin '{codec.info.name}'...\n  Original: {row['original_size']} bytes")
     if not row["passed"]:
         raise FrameError("InvalidInput", "Invalid input: Roundtrip validation failed: data mismatch")
@@ -232,13 +239,19 @@ class JsonLines(logging.Formatter):
         return json.dumps({"timestamp": self.formatTime(record), "level": record.levelname, "target": record.name, "message": record.getMessage()})
 
 
+def log_level(config: settings.Config, env: Mapping[str, str]) -> str:
+    """The level that counts: that of the environment's log variable, where it names one, before the configured one."""
+    asked = env.get(settings.PREFIX + "LOG", "").strip().lower()
+    return asked if asked in LOG_LEVELS else str(config["logging.level"])
+
+
 def logs(config: settings.Config) -> None:
     """Human or JSON lines, to stderr or a file."""
     handler = logging.FileHandler(str(config["logging.file"])) if config["logging.file"] else logging.StreamHandler(sys.stderr)
     handler.setFormatter(JsonLines() if config["logging.format"] == "json" else logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
     logger = logging.getLogger("spandrel")
     logger.handlers, logger.propagate = [handler], False
-    logger.setLevel(LOG_LEVELS[str(config["logging.level"])])
+    logger.setLevel(LOG_LEVELS[log_level(config, os.environ)])
 
 
 def told(error: FrameError) -> tuple[str, int]:

@@ -13,6 +13,7 @@ from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 from .operators.codecs import FrameError
+from .operators.frames import Options
 
 T = TypeVar("T")
 
@@ -37,11 +38,39 @@ class Token:
             raise FrameError("Cancelled", "Operation cancelled")
 
 
+class CancelOnExit:
+    """Leaving sets the token, however it is left; what still works for it then stops. `dismiss` lets it be."""
+
+    def __init__(self, token: Token):
+        self.token, self.armed = token, True
+
+    def dismiss(self) -> None:
+        self.armed = False
+
+    def __enter__(self) -> CancelOnExit:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.armed:
+            self.token.cancel()
+
+
 def bounded(spark: SparkSession, action: Callable[[], T], seconds: float = 0.0, token: Token | None = None, poll: float = 0.02) -> T:
     """Run an action, such as a write. After `seconds` (0: without end), or when the token asks, its jobs are cancelled
-    and an error of kind Timeout or Cancelled is raised; an action that fails by itself raises its own error."""
+    and an error of kind Timeout or Cancelled is raised, with the token set, so that what else works for it stops too; an
+    action that fails by itself raises its own error."""
     token = token or Token()
     token.check()
+    with CancelOnExit(token) as guard:
+        done = _watch(spark, action, seconds, token, poll)
+        guard.dismiss()
+    if "error" in done:
+        raise done["error"]
+    return done["value"]
+
+
+def _watch(spark: SparkSession, action: Callable[[], T], seconds: float, token: Token, poll: float) -> dict[str, object]:
+    """What an action gave: its value or its error."""
     tag = f"frames-{uuid.uuid4().hex}"
     context = spark.sparkContext
     done: dict[str, object] = {}
@@ -66,9 +95,12 @@ def bounded(spark: SparkSession, action: Callable[[], T], seconds: float = 0.0,
             context.cancelJobsWithTag(tag)
             thread.join(5)
             raise FrameError("Timeout", f"Operation timed out after {seconds:g}s") if late else FrameError("Cancelled", "Operation cancelled")
-    if "error" in done:
-        raise done["error"]
-    return done["value"]
+    return done
+
+
+def perform(spark: SparkSession, action: Callable[[], T], options: Options) -> T:
+    """Run an action under the timeout and the token of options."""
+    return bounded(spark, action, options.timeout, options.token)
 
 
 class Resources:
@@ -111,4 +143,5 @@ def on_interrupt(spark: SparkSession, token: Token) -> None:
         token.cancel()
         spark.sparkContext.cancelAllJobs()
 
-    signal.signal(signal.SIGINT, handle)
+    if threading.current_thread() is threading.main_thread():  # only there a handler can be set
+        signal.signal(signal.SIGINT, handle)

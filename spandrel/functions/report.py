@@ -81,6 +81,7 @@ def friendly(kind: Column, message: Column) -> Column:
         .when(kind == "InvalidMagic", "Not a valid archive: invalid magic number")
         .when(kind == "CrcMismatch", F.concat(F.lit("File corrupted: CRC32 checksum mismatch ("), F.regexp_replace(message, "^CRC32 mismatch: ", ""), F.lit("). The compressed file may be damaged.")))
         .when(kind == "NotFound", F.concat(F.lit("Compression plugin '"), message, F.lit("' not found. List the codecs to see what is available.")))
+        .when(kind == "Timeout", F.concat(F.lit("Compression timeout after "), F.floor(F.coalesce(F.regexp_extract(message, "([0-9.]+)s$", 1).try_cast("double"), F.lit(0.0))).cast("string"), F.lit("s")))
         .when(kind == "Panic", "Plugin panicked during execution")
         .when(kind.isin(*STOPPED), "Operation cancelled")
         .otherwise(message)

@@ -6,9 +6,11 @@ a small DataFrame for routing and scoring, and the codecs themselves travel to A
 
 from __future__ import annotations
 
+import inspect
 import math
+import time
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from importlib import metadata as packages
 from typing import Protocol, runtime_checkable
@@ -42,9 +44,40 @@ class CodecInfo:
     description: str = ""
 
 
+#: Bytes that a codec works on between two looks at whether it should stop.
+CHUNK = 64 << 10
+#: Raises if work should stop.
+Check = Callable[[], None]
+
+
+def deadline(seconds: float) -> Check:
+    """A check that raises once so many seconds have passed; 0 never."""
+    end = time.monotonic() + seconds
+
+    def check() -> None:
+        if seconds > 0 and time.monotonic() >= end:
+            raise FrameError("Timeout", f"Operation timed out after {seconds:g}s")
+
+    return check
+
+
+def _chunks(data: bytes, check: Check | None) -> Iterable[memoryview]:
+    view = memoryview(data)
+    for at in range(0, len(view), CHUNK):
+        if check:
+            check()
+        yield view[at : at + CHUNK]
+
+
+def stoppable(run: Callable[..., bytes]) -> bool:
+    """Whether a codec's function takes a check."""
+    return "check" in inspect.signature(run).parameters
+
+
 @runtime_checkable
 class Codec(Protocol):
-    """What a codec offers. `decompress` may stop once it has `limit` + 1 bytes."""
+    """What a codec offers. `decompress` may stop once it has `limit` + 1 bytes. Both may take a `check` besides, which
+    they call after every `CHUNK` bytes or so, and which raises if they should stop."""
 
     info: CodecInfo
 
@@ -63,21 +96,30 @@ class Deflate:
     def __init__(self, level: int = 6):
         self.level = level
 
-    def compress(self, data: bytes) -> bytes:
+    def compress(self, data: bytes, check: Check | None = None) -> bytes:
         packer = zlib.compressobj(self.level, zlib.DEFLATED, -15)
-        return packer.compress(data) + packer.flush()
+        return b"".join([*map(packer.compress, _chunks(data, check)), packer.flush()])
 
-    def decompress(self, data: bytes, limit: int) -> bytes:
-        opener = zlib.decompressobj(-15)
+    def decompress(self, data: bytes, limit: int, check: Check | None = None) -> bytes:
+        opener, out, size = zlib.decompressobj(-15), [], 0
         try:
-            out = opener.decompress(data, limit + 1)
+            for chunk in _chunks(data, check):
+                piece: bytes | memoryview = chunk
+                while not opener.eof and size <= limit and len(piece):  # a chunk may unpack to very much
+                    out.append(opener.decompress(piece, min(limit + 1 - size, 16 * CHUNK)))
+                    size += len(out[-1])
+                    piece = opener.unconsumed_tail
+                    if check and len(piece):
+                        check()
+                if opener.eof or size > limit:
+                    break
+            if not opener.eof and size <= limit:
+                out.append(opener.flush())
         except zlib.error as e:
             raise FrameError("OperationFailed", f"DEFLATE decompression failed: {e}") from e
-        if not opener.eof and len(out) <= limit:
-            out += opener.flush()
-            if not opener.eof:
-                raise FrameError("OperationFailed", "DEFLATE decompression failed: truncated stream")
-        return out
+        if not opener.eof and size <= limit:
+            raise FrameError("OperationFailed", "DEFLATE decompression failed: truncated stream")
+        return b"".join(out)
 
     def detect(self, head: bytes) -> bool:
         return True
@@ -164,12 +206,16 @@ def default_registry() -> Registry:
 MOST_BYTES = (1 << 31) - 1 - 64
 
 
-def encode(codec: Codec, data: Column) -> Column:
-    """A payload column through a codec. Null gives null."""
+def encode(codec: Codec, data: Column, seconds: float = 0.0) -> Column:
+    """A payload column through a codec. Null gives null. A payload that takes more than `seconds` fails the job with an
+    error of kind Timeout; 0 is without end."""
+
+    def pack(value: bytes) -> bytes:
+        return codec.compress(value, check=deadline(seconds)) if seconds > 0 and stoppable(codec.compress) else codec.compress(value)
 
     @F.arrow_udf("binary")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else codec.compress(v) for v in values.to_pylist()], pa.binary())
+        return pa.array([None if v is None else pack(v) for v in values.to_pylist()], pa.binary())
 
     return run(data)
 
@@ -219,3 +265,7 @@ def choose(registry: Registry, weights: tuple[float, float], name: str | None =
         raise FrameError("NotFound", "No codecs are registered")
     found = scores(registry.infos(), weights)
     return registry.by_name(min(found, key=lambda n: (-found[n], n)))
+
+
+#: What codecs are tested on.
+SELF_TEST = "A codec must give back exactly what it was given: 0123456789, abc, ABC, and a repeated, repeated, repeated word."

@@ -8,13 +8,14 @@ has no Python node at all, and a plan that does not use the content never decode
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wire
 from ..functions.report import LEVELS
-from .codecs import MOST_BYTES, FrameError, Registry, choose, decode, default_registry, encode
+from .codecs import MOST_BYTES, SELF_TEST, FrameError, Registry, choose, decode, default_registry, encode
 
 
 def weights(throughput: float, compression_ratio: float) -> tuple[float, float]:
@@ -26,15 +27,24 @@ def weights(throughput: float, compression_ratio: float) -> tuple[float, float]:
     return throughput, compression_ratio
 
 
+class Cancellable(Protocol):
+    """What options need of a token: `control.Token` is one."""
+
+    def check(self) -> None: ...
+
+
 @dataclass(frozen=True)
 class Options:
-    """How to compress. plugin: a codec's name, else the weights choose. mtime, permissions: columns to store."""
+    """How to compress. plugin: a codec's name, else the weights choose. mtime, permissions: columns to store. timeout:
+    seconds that one payload may take, and an action that `control.perform` runs. token: asks to stop; `compress` looks at
+    it, and so does `control.perform` while its action runs."""
 
     plugin: str | None = None
     weights: tuple[float, float] = LEVELS["library"]
     timeout: float = 0.0
     mtime: str | None = None
     permissions: str | None = None
+    token: Cancellable | None = None
 
     def with_plugin(self, name: str) -> Options:
         return replace(self, plugin=name)
@@ -43,9 +53,12 @@ class Options:
         return replace(self, weights=weights(throughput, compression_ratio))
 
     def with_timeout(self, seconds: float) -> Options:
-        """Seconds an action may take (see `control.bounded`); 0 is without end."""
+        """Seconds that a payload, or an action, may take; 0 is without end."""
         return replace(self, timeout=seconds)
 
+    def with_cancel_token(self, token: Cancellable) -> Options:
+        return replace(self, token=token)
+
     def with_file_metadata(self, mtime: str | None = "mtime", permissions: str | None = "permissions") -> Options:
         return replace(self, mtime=mtime, permissions=permissions)
 
@@ -55,7 +68,9 @@ def compress(df: DataFrame, data: str = "data", frame: str = "frame", options: O
     registry = registry or default_registry()
     codec = registry.default() if options is None else choose(registry, options.weights, options.plugin)
     options = options or Options()
-    packed = df.withColumn("_payload", encode(codec, F.col(data)))
+    if options.token:
+        options.token.check()
+    packed = df.withColumn("_payload", encode(codec, F.col(data), options.timeout))
     attribute = lambda name: F.col(name).cast("long") if name else None
     made = wire.assemble(F.col("_payload"), F.octet_length(data), attribute(options.mtime), attribute(options.permissions), codec.info.magic)
     return packed.withColumn(frame, made).drop("_payload")
@@ -170,3 +185,15 @@ def fail_fast(df: DataFrame) -> DataFrame:
     """Fails the job at the first row with an error, before anything is written."""
     return df.filter(F.when(F.col("error_kind").isNotNull(), F.raise_error(F.concat_ws(": ", "error_kind", "error_message")).cast("boolean")).otherwise(F.lit(True)))
 
+
+
+def self_test(spark: SparkSession, registry: Registry | None = None) -> DataFrame:
+    """Every codec on a fixed text, forth and back: name, original_size, passed."""
+    registry = registry or default_registry()
+    out: DataFrame | None = None
+    for info in registry.infos():
+        rows = spark.createDataFrame([(info.name, bytearray(SELF_TEST, "utf-8"))], "name string, before binary")
+        back = decompress(compress(rows, data="before", options=Options(plugin=info.name), registry=registry), registry=registry)
+        tested = back.select("name", F.octet_length("before").cast("long").alias("original_size"), F.col("data").eqNullSafe(F.col("before")).alias("passed"))
+        out = out.unionAll(tested) if out else tested
+    return out if out is not None else spark.createDataFrame([], "name string, original_size long, passed boolean")

@@ -45,10 +45,10 @@ def csv_lines(inspected: DataFrame, path: str = "path") -> DataFrame:
     return inspected.select(F.concat_ws(",", *parts).alias("value"))
 
 
-def json_objects(inspected: DataFrame) -> DataFrame:
-    """One JSON object a frame: without its path, and with nulls kept."""
+def json_objects(inspected: DataFrame, *keys: str) -> DataFrame:
+    """One JSON object a frame: without its path, and with nulls kept; beside key columns, if any."""
     one = F.struct("original_size", "compressed_size", "plugin_name", "crc_valid", F.struct("mtime", "permissions").alias("metadata"))
-    return inspected.select(F.to_json(one, {"ignoreNullFields": "false"}).alias("value"))
+    return inspected.select(*keys, F.to_json(one, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def codec_objects(registry: DataFrame) -> DataFrame:

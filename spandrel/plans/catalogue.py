@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import report, wire
 from ..operators import reports, selection
-from ..operators.codecs import REGISTRY_SCHEMA, FrameError, default_registry
-from ..operators.frames import Options, compress, decompress, inspect
+from ..operators.codecs import REGISTRY_SCHEMA, SELF_TEST, FrameError, default_registry
+from ..operators.frames import Options, compress, decompress, inspect, self_test
 from . import config
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,22 +380,10 @@ def route_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.unknown(_magics(spark, sf_dir), selection.first_registered(codecs(spark))).select("doc_id", "magic")
 
 
-_SELF_TEST = "A codec must give back exactly what it was given: 0123456789, abc, ABC, and a repeated, repeated, repeated word."
-
-
-@query("codec_self_test", f"SELECT 'deflate' AS name, CAST(length('{_SELF_TEST}') AS BIGINT) AS original_size, true AS passed")
+@query("codec_self_test", f"SELECT 'deflate' AS name, CAST(length('{SELF_TEST}') AS BIGINT) AS original_size, true AS passed")
 def codec_self_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every installed codec on a fixed text, forth and back."""
-    out = []
-    for info in default_registry().infos():
-        rows = spark.createDataFrame([(info.name, bytearray(_SELF_TEST, "utf-8"))], "name string, data binary")
-        frames = compress(rows, options=Options(plugin=info.name)).withColumnRenamed("data", "before")
-        back = decompress(frames)
-        out.append(back.select("name", F.octet_length("before").cast("long").alias("original_size"), (F.col("data") == F.col("before")).alias("passed")))
-    result = out[0]
-    for rows in out[1:]:
-        result = result.unionAll(rows)
-    return result
+    return self_test(spark)
 
 
 # --- derived numbers and names ---------------------------------------------------------------------------------------
@@ -462,9 +450,7 @@ def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects with nulls kept; the packed size, which depends on the encoder, is taken out."""
     rows = inspect(documents(spark, sf_dir).select("doc_id", "frame"))
-    one = F.struct("original_size", "compressed_size", "plugin_name", "crc_valid", F.struct("mtime", "permissions").alias("metadata"))
-    text = F.regexp_replace(F.to_json(one, {"ignoreNullFields": "false"}), '"compressed_size":[0-9]+,', "")
-    return rows.select("doc_id", text.alias("line"))
+    return reports.json_objects(rows, "doc_id").select("doc_id", F.regexp_replace("value", '"compressed_size":[0-9]+,', "").alias("line"))
 
 
 @query(
@@ -485,11 +471,15 @@ def config_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, on a file system with plain paths."""
+    """A new folder that driver and executors share, on a file system with plain paths; only a local session may do
+    without naming one."""
     top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "").removeprefix("file:")
     top = "/" + top.lstrip("/") if top.startswith("//") else top
     if "://" in top:
         raise FrameError("InvalidInput", f"files need a shared folder with plain paths, not {top}")
+    master = spark.sparkContext.master
+    if not top and not (master == "local" or master.startswith("local[")):
+        raise FrameError("InvalidInput", "set spark.checkpoint.dir to a folder that the driver and all executors share")
     if top:
         os.makedirs(top, exist_ok=True)
     return tempfile.mkdtemp(prefix="frames-", dir=top or None)
@@ -542,3 +532,6 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     to_parquet(frames(watch(spark, f"{top}/in")), f"{top}/out", f"{top}/state").awaitTermination()
     stored = spark.read.parquet(f"{top}/out").drop("mtime")
     return decompress(stored).select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("item_id"), _text("data").alias("restored"))
+
+
+from . import surface as _surface  # noqa: E402, F401  registers the queries of the driver's side

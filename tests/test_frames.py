@@ -162,6 +162,13 @@ def test_other_codecs(spark):
     assert lost["error_kind"] == "NotFound" and "[43, 52, 01, 77]" in lost["error_message"] and "deflate" in lost["error_message"]
 
 
+def test_payloads_that_take_too_long_fail_the_job(spark):
+    long = rows(spark, [b"x" * (32 << 20)])
+    with pytest.raises(Exception, match="Operation timed out after 1e-06s"):
+        compress(long, options=Options().with_timeout(1e-6)).collect()
+    assert bytes(decompress(compress(long, options=Options().with_timeout(600))).first()["data"]) == b"x" * (32 << 20)
+
+
 def test_first_registered_stays():
     registry = Registry([Echo("a"), Echo("b")])
     assert [i.name for i in registry.infos()] == ["a"] and len(registry.warnings) == 1
