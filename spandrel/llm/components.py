@@ -32,7 +32,8 @@ def _star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links of long ids to (node, root): the smallest id reachable, for every node that has a link to another.
 
-    Null ends and self-links are ignored; repeated links count once; no links give an empty table.
+    Null ends and self-links are ignored; repeated links count once; no links give an empty table. The result reads a
+    stored table, which `discard` of it deletes.
     """
     pairs = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, state = store(pairs, "links"), None
@@ -46,5 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
         if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._stored_at = now._stored_at
+            return out
         state = seen

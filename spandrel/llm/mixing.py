@@ -11,7 +11,7 @@ document key. No document is ranked against others, so a source with a third of
 largest windows hold the blocks of a source or the documents of one block, about sqrt(n) rows either.
 
 Defined results: a null source is the source ''; a null text has no tokens; sources without tokens stay as they are
-(one copy); a null doc_id is ordered as the id ''; rows of one doc_id are taken or left together; an empty table gives
+(one copy); a very long text only weighs more; a null doc_id is ordered as the id ''; rows of one doc_id are taken or left together; an empty table gives
 an empty result; other columns are ignored by the plan and kept by `mix`.
 """
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, store, unboxed
+from .common import boxed, discard, store, unboxed
 
 #: The exponent is a multiple of 2 ** -STEPS, and a job tries LEVEL levels of the bisection at once.
 STEPS, LEVEL = 20, 4
@@ -130,7 +130,9 @@ def plan(documents: DataFrame, target: Target) -> DataFrame:
     inside = inside.withColumn("run", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key")) + F.col("before"))
     last = inside.filter("run <= rest").groupBy("source").agg(F.max("key").alias("last_key"))
     ends = ends.select("source", F.col("block_key").alias("last_block")).join(last, "source", "left")
-    return store(rows.join(ends, "source", "left").drop("rest"), "mixing-plan")
+    made = store(rows.join(ends, "source", "left").drop("rest"), "mixing-plan")
+    discard(totals)
+    return made
 
 
 def _copies(key: Column, source: Column, seed: int) -> Column:

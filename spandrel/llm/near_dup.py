@@ -221,8 +221,8 @@ def _search(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
     return rows.select(*keys, "node", "shingles").groupBy(*keys).applyInArrow(run, "u long, v long")
 
 
-def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """The links that full sets confirm, as spanning forests.
+def _confirmed(members: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The links that full sets confirm, as spanning forests, and the stored tables that they read.
 
     A cluster of several blocks is searched twice. First its block 0 with each other block, which joins most of a group
     of near copies; then what is left outside the cluster's largest component with every block. Two texts that both are
@@ -235,8 +235,9 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     first = store(_search(dealt.withColumn("block", F.explode(hub)), percent, "cluster", "block"), "confirmed")
     large = dealt.filter("blocks > 2")
     if large.isEmpty():
-        return first
-    labels = large.select("cluster", "blocks", "own", "node", "n").join(components(first), "node", "left").withColumn("label", F.coalesce("root", "node"))
+        return first, [first]
+    joined = components(first)
+    labels = large.select("cluster", "blocks", "own", "node", "n").join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
     most = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
     rest = store(labels.join(most, "cluster").filter("label <> most").select("cluster", "node", "n"), "unsettled")
     chunks = rest.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", _count_blocks("total", "sets").alias("chunks"))
@@ -244,7 +245,7 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     whole = large.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.col("own").alias("block"), "chunk", "node", "shingles")
     loose = large.join(rest.select("cluster", "node"), ["cluster", "node"], "left_semi").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     loose = loose.withColumn("block", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))).select("cluster", "block", "chunk", "node", "shingles")
-    return first.unionByName(_search(whole.unionByName(loose), percent, "cluster", "block", "chunk"))
+    return first.unionByName(_search(whole.unionByName(loose), percent, "cluster", "block", "chunk")), [first, rest, joined]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -254,11 +255,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "classes")
     clusters = components(_candidates(classes))
     members = _members(docs, clusters, words)
-    confirmed = _confirmed(members, percent)
+    discard(clusters)
+    confirmed, read = _confirmed(members, percent)
     rows = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     own = known.join(rows, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(confirmed.unionByName(own))
-    discard(members)
+    for table in (members, *read):
+        discard(table)
     roots = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Bound of the labelled sample that rules are learned from.
@@ -184,7 +184,9 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_R
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept of every document."""
-    rules = learn(labelled_statistics(docs, labels))
+    labelled = labelled_statistics(docs, labels)
+    rules = learn(labelled)
+    discard(labelled)
     rows = statistics(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))).withColumn("base_failed", base_failed())
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

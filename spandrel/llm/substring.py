@@ -12,7 +12,8 @@ instead, which only moves work between tasks: every window is still compared.
 
 Defined results: a null text has no words; a null doc_id is compared with nothing and loses nothing; rows of one doc_id
 are the same document (their windows do not repeat each other); other columns are ignored by the digest and kept by
-`dedup_substrings`; an empty table gives an empty result.
+`dedup_substrings`; a very long text is scanned whole and its windows travel like those of others; rows that share both
+doc_id and the CRC-32 of their text share their ranges; an empty table gives an empty result.
 """
 
 from __future__ import annotations
