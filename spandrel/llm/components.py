@@ -17,16 +17,16 @@ from .common import discard, store
 SALTS = 8
 
 
-def salted_join(rows: DataFrame, lows: DataFrame, key: str, spread: str) -> DataFrame:
+def salted_join(rows: DataFrame, lows: DataFrame, key: list[str], spread: str) -> DataFrame:
     """rows joined with lows, which has one row a key. Rows of one key are dealt over SALTS tasks by another column; lows
     stands in each."""
     copies = lows.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [*key, "_salt"]).drop("_salt")
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """Connect to the smallest neighbour: u to m, and every other neighbour of u to m."""
-    return salted_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u", "v")
+    return salted_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), ["u"], "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both, low, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = salted_join(both, low, ["u"], "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _star(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = store(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
         seen = tuple(after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())

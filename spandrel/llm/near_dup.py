@@ -8,8 +8,8 @@ Documents with equal sets collapse to one class first, so copies never meet. Ban
 smallest one; the components of these unconfirmed links hold every pair that shares a band. Inside a component a
 breadth-first search over full sets confirms links: a class leaves the search once reached, so a group of near copies
 costs about one comparison per member rather than all pairs, and only a spanning forest of links leaves the task. A
-component beyond `BLOCK_SHINGLES` or `BLOCK_SETS` is dealt into blocks: one of them is searched with each other block,
-and then only what that did not join to the largest component is searched with all blocks.
+component beyond `BLOCK_SHINGLES` or `BLOCK_SETS` is dealt into blocks: part of one is searched with each other block,
+and then only what that did not join to the largest component is searched with all sets of sizes that it could link to.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than a shingle give one
 shingle, the whole sequence; rows of one `doc_id` count as the same document and share its component; a null `doc_id`
@@ -19,6 +19,7 @@ slice is one; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from .components import components, salted_join
 
 BANDS, ROWS = 48, 6
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 512
+#: One set in so many of a cluster's first block is searched with all its other blocks.
+HUB = 4
 #: Candidates of a broadcast: two longs each. More travel to the texts by a shuffle.
 BROADCAST_NODES = 1_000_000
 _GOLD = 0x9E3779B97F4A7C15
@@ -131,7 +134,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
     rows = classes.select("rep", "bands").mapInArrow(run, "band long, rep long")
     low = rows.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("high")).filter("v <> high").select("band", "v")
-    return salted_join(rows, low, "band", "rep").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+    return salted_join(rows, low, ["band"], "rep").filter("rep <> v").select(F.col("rep").alias("u"), "v")
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -172,10 +175,11 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
     return out
 
 
-def _members(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the classes that have candidates: node, cluster, n, shingles (uint64). Few enough candidates are
-    broadcast, and no text travels. More than that meet the texts, compressed, in a hash join of which the candidates are
-    the side that is hashed: no text is sorted."""
+def _members(docs: DataFrame, clusters: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of the classes that have candidates: node, cluster, blocks (of the cluster), n, shingles (uint64).
+    Few enough candidates are broadcast, and no text travels. More than that meet the texts, compressed, in a hash join of
+    which the candidates are the side that is hashed: no text is sorted. Blocks are counted before there are sets, so that
+    sets need not travel to their counts."""
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in thrifty(batches):
@@ -186,18 +190,21 @@ def _members(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in thrifty(batches):
                 found = shingle_sets([opened(t or b"") for t in batch.column("_text").to_pylist()], words)
-                columns = [batch.column("node"), batch.column("root"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "n", "shingles"])
+                columns = [batch.column("node"), batch.column("root"), batch.column("blocks"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "blocks", "n", "shingles"])
 
         return run
 
-    made = "node long, cluster long, n long, shingles binary"
+    made = "node long, cluster long, blocks int, n long, shingles binary"
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("_text"))
-    known = store(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    nodes = clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    sized = nodes.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")), "node")
+    blocks = sized.groupBy("root").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets")).select("root", _count_blocks("n", "sets").alias("blocks"))
+    known = store(salted_join(nodes, blocks, ["root"], "node").select("node", "root", "blocks"), "candidates")
     if known.count() <= BROADCAST_NODES:
-        out = texts.join(F.broadcast(known), "node").select("node", "root", "_text").mapInArrow(sets(lambda t: t), made)
+        out = texts.join(F.broadcast(known), "node").select("node", "root", "blocks", "_text").mapInArrow(sets(lambda t: t), made)
     else:
-        out = texts.mapInArrow(squeezed, "node long, _text binary").join(known.hint("shuffle_hash"), "node").select("node", "root", "_text").mapInArrow(sets(expand), made)
+        out = texts.mapInArrow(squeezed, "node long, _text binary").join(known.hint("shuffle_hash"), "node").select("node", "root", "blocks", "_text").mapInArrow(sets(expand), made)
     members = store(out.filter("n > 0"), "members")
     discard(known)
     return members
@@ -207,6 +214,14 @@ def _count_blocks(n: str, sets: str) -> Column:
     return F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(sets) / BLOCK_SETS)).cast("int")
 
 
+def _dealt(parts: str, *seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", *map(F.lit, seed)), F.col(parts)).cast("int")
+
+
+def _all_of(parts: str) -> Column:
+    return F.sequence(F.lit(0), F.col(parts) - 1)
+
+
 def _search(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
     """The links inside each group of node, shingles."""
 
@@ -221,40 +236,67 @@ def _search(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
     return rows.select(*keys, "node", "shingles").groupBy(*keys).applyInArrow(run, "u long, v long")
 
 
+def _unsettled(sized: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of `sized` outside the largest component, by the links `first`, of their clusters. Stored."""
+    joined = components(first)
+    labels = sized.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    most = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
+    rest = store(salted_join(labels, most, ["cluster"], "node").filter("label <> most").select("cluster", "node", "n", "bin"), "unsettled")
+    discard(joined)
+    return rest
+
+
+def _second_plan(sized: DataFrame, rest: DataFrame) -> DataFrame:
+    """Where sets go in the second search: node, n, cluster, bin, part, chunk. Every set of a bin that unsettled sets can
+    link to stays in its part of it; an unsettled set goes to all parts of its own bin and of the next ones. Stored."""
+    bins = sized.groupBy("cluster", "bin").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", "bin", _count_blocks("total", "sets").alias("parts"))
+    reach = rest.withColumnRenamed("bin", "home").withColumn("bin", F.explode(F.array(*(F.col("home") + k for k in (-1, 0, 1)))))
+    chunks = reach.groupBy("cluster", "bin").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", "bin", _count_blocks("total", "sets").alias("chunks"))
+    grid = store(bins.join(chunks, ["cluster", "bin"]), "bins")
+    at = ["cluster", "bin"]
+    whole = salted_join(sized, grid, at, "node").withColumn("part", _dealt("parts")).withColumn("chunk", F.explode(_all_of("chunks")))
+    others = F.when(F.col("bin") == F.col("home"), F.array_remove(_all_of("parts"), _dealt("parts"))).otherwise(_all_of("parts"))
+    loose = salted_join(reach, grid, at, "node").withColumn("chunk", _dealt("chunks", 1)).withColumn("part", F.explode(others))
+    columns = ["node", "n", *at, "part", "chunk"]
+    plan = store(whole.select(columns).unionByName(loose.select(columns)), "second-search")
+    discard(grid)
+    return plan
+
+
 def _confirmed(members: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """The links that full sets confirm, as spanning forests, and the stored tables that they read.
 
-    A cluster of several blocks is searched twice. First its block 0 with each other block, which joins most of a group
-    of near copies; then what is left outside the cluster's largest component with every block. Two texts that both are
-    in that component are connected already, any other pair meets in the second search.
+    A cluster of several blocks is searched twice. First each block with a part of block 0, which joins most of a group of
+    near copies; then what is left outside the cluster's largest component with every set of a size that it can link to.
+    Two texts that both are in that component are connected already, any other pair meets in the second search: linked
+    sets differ in size by a factor of 100 / percent at most, so they are in the same bin of sizes or in adjacent ones.
+    Everything but the searches themselves works on rows without sets.
     """
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    dealt = members.join(sizes.select("cluster", _count_blocks("total", "sets").alias("blocks")), "cluster")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    hub = F.when((F.col("own") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("own"))
-    first = store(_search(dealt.withColumn("block", F.explode(hub)), percent, "cluster", "block"), "confirmed")
-    large = dealt.filter("blocks > 2")
-    if large.isEmpty():
+    own = _dealt("blocks")
+    to_all = (own == 0) & (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(HUB)) == 0)
+    block = F.when(F.col("blocks") == 2, F.array(F.lit(0))).when(to_all, _all_of("blocks")).otherwise(F.array(own))
+    first = store(_search(members.withColumn("block", F.explode(block)), percent, "cluster", "block"), "confirmed")
+    large = members.filter("blocks > 2")  # two blocks were searched as one
+    step = math.log(1.01 * 100 / percent)  # a little wide, so that rounding cannot part linked sizes by two bins
+    sized = large.select("cluster", "node", "n", F.floor(F.log("n") / step).cast("int").alias("bin")).distinct()
+    if sized.isEmpty():
         return first, [first]
-    joined = components(first)
-    labels = large.select("cluster", "blocks", "own", "node", "n").join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    most = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
-    rest = store(labels.join(most, "cluster").filter("label <> most").select("cluster", "node", "n"), "unsettled")
-    chunks = rest.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", _count_blocks("total", "sets").alias("chunks"))
-    large = large.join(chunks, "cluster")
-    whole = large.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.col("own").alias("block"), "chunk", "node", "shingles")
-    loose = large.join(rest.select("cluster", "node"), ["cluster", "node"], "left_semi").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
-    loose = loose.withColumn("block", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))).select("cluster", "block", "chunk", "node", "shingles")
-    return first.unionByName(_search(whole.unionByName(loose), percent, "cluster", "block", "chunk")), [first, rest, joined]
+    sized = store(sized, "sized")
+    rest = _unsettled(sized, first)
+    plan = _second_plan(sized, rest)
+    for table in (sized, rest):
+        discard(table)
+    second = _search(large.select("node", "n", "shingles").join(plan, ["node", "n"]), percent, "cluster", "bin", "part", "chunk")
+    return first.unionByName(second), [first, plan]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, of every document."""
     signed = store(_signed(docs, words), "signed")
     known = signed.filter("doc_id is not null and set_key is not null")
-    classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "classes")
+    classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands"), F.max("n_shingles").alias("n")), "classes")
     clusters = components(_candidates(classes))
-    members = _members(docs, clusters, words)
+    members = _members(docs, clusters, classes, words)
     discard(clusters)
     confirmed, read = _confirmed(members, percent)
     rows = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
