@@ -84,6 +84,16 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, blocks):
     H.same(near_dup.near_duplicates(H.frame(spark, rows), 2), H.components(rows, 2), "doc_id", "n_shingles", "component_id", "kept")
 
 
+@pytest.mark.parametrize("sets", [512, 9, 3])
+def test_a_large_group_of_many_sizes(spark, monkeypatch, sets):
+    """Chains of texts that grow word by word, with gaps: links cross the bins of sizes, but not every gap."""
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", sets)
+    lengths = [n for a, b in ((20, 33), (39, 60), (78, 96), (121, 140)) for n in range(a, b, 3)]
+    texts = [" ".join(f"{kind}{i}" if i > 15 else f"w{i}" for i in range(n)) for kind in "ab" for n in lengths]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(random.Random(3).sample(texts, len(texts)))]
+    H.same(near_dup.near_duplicates(H.frame(spark, rows), 2), H.components(rows, 2), "doc_id", "n_shingles", "component_id", "kept")
+
+
 @pytest.mark.parametrize("most", [near_dup.BROADCAST_NODES, 0])
 def test_candidates_are_broadcast_or_shuffled(spark, monkeypatch, most):
     monkeypatch.setattr(near_dup, "BROADCAST_NODES", most)
