@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SCAN_BYTES, Words, bounded_batches, boxed, discard, expand, mix, slices, squeeze, store, text_bytes, thrifty, unboxed
-from .components import components, salted_join
+from .components import components, split_join
 
 BANDS, ROWS = 48, 6
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 512
@@ -133,8 +133,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep)], ["band", "rep"])
 
     rows = classes.select("rep", "bands").mapInArrow(run, "band long, rep long")
-    low = rows.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("high")).filter("v <> high").select("band", "v")
-    return salted_join(rows, low, ["band"], "rep").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+    low = rows.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("_n")).filter("v <> high").select("band", "v", "_n")
+    return split_join(rows, low, ["band"]).filter("rep <> v").select(F.col("rep").alias("u"), "v")
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -199,8 +199,8 @@ def _members(docs: DataFrame, clusters: DataFrame, classes: DataFrame, words: in
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_bytes().alias("_text"))
     nodes = clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     sized = nodes.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")), "node")
-    blocks = sized.groupBy("root").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets")).select("root", _count_blocks("n", "sets").alias("blocks"))
-    known = store(salted_join(nodes, blocks, ["root"], "node").select("node", "root", "blocks"), "candidates")
+    blocks = sized.groupBy("root").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets"), F.count(F.lit(1)).alias("_n")).select("root", _count_blocks("n", "sets").alias("blocks"), "_n")
+    known = store(split_join(nodes, blocks, ["root"]).select("node", "root", "blocks"), "candidates")
     if known.count() <= BROADCAST_NODES:
         out = texts.join(F.broadcast(known), "node").select("node", "root", "blocks", "_text").mapInArrow(sets(lambda t: t), made)
     else:
@@ -240,8 +240,8 @@ def _unsettled(sized: DataFrame, first: DataFrame) -> DataFrame:
     """The rows of `sized` outside the largest component, by the links `first`, of their clusters. Stored."""
     joined = components(first)
     labels = sized.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    most = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
-    rest = store(salted_join(labels, most, ["cluster"], "node").filter("label <> most").select("cluster", "node", "n", "bin"), "unsettled")
+    most = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.sum("size").alias("_n"))
+    rest = store(split_join(labels, most, ["cluster"]).filter("label <> most").select("cluster", "node", "n", "bin"), "unsettled")
     discard(joined)
     return rest
 
@@ -249,14 +249,14 @@ def _unsettled(sized: DataFrame, first: DataFrame) -> DataFrame:
 def _second_plan(sized: DataFrame, rest: DataFrame) -> DataFrame:
     """Where sets go in the second search: node, n, cluster, bin, part, chunk. Every set of a bin that unsettled sets can
     link to stays in its part of it; an unsettled set goes to all parts of its own bin and of the next ones. Stored."""
-    bins = sized.groupBy("cluster", "bin").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", "bin", _count_blocks("total", "sets").alias("parts"))
+    bins = sized.groupBy("cluster", "bin").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", "bin", _count_blocks("total", "sets").alias("parts"), F.col("sets").alias("_n"))
     reach = rest.withColumnRenamed("bin", "home").withColumn("bin", F.explode(F.array(*(F.col("home") + k for k in (-1, 0, 1)))))
     chunks = reach.groupBy("cluster", "bin").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).select("cluster", "bin", _count_blocks("total", "sets").alias("chunks"))
     grid = store(bins.join(chunks, ["cluster", "bin"]), "bins")
     at = ["cluster", "bin"]
-    whole = salted_join(sized, grid, at, "node").withColumn("part", _dealt("parts")).withColumn("chunk", F.explode(_all_of("chunks")))
+    whole = split_join(sized, grid, at).withColumn("part", _dealt("parts")).withColumn("chunk", F.explode(_all_of("chunks")))
     others = F.when(F.col("bin") == F.col("home"), F.array_remove(_all_of("parts"), _dealt("parts"))).otherwise(_all_of("parts"))
-    loose = salted_join(reach, grid, at, "node").withColumn("chunk", _dealt("chunks", 1)).withColumn("part", F.explode(others))
+    loose = split_join(reach, grid, at).withColumn("chunk", _dealt("chunks", 1)).withColumn("part", F.explode(others))
     columns = ["node", "n", *at, "part", "chunk"]
     plan = store(whole.select(columns).unionByName(loose.select(columns)), "second-search")
     discard(grid)
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, of every document."""
     signed = store(_signed(docs, words), "signed")
     known = signed.filter("doc_id is not null and set_key is not null")
-    classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands"), F.max("n_shingles").alias("n")), "classes")
+    classes = store(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     clusters = components(_candidates(classes))
     members = _members(docs, clusters, classes, words)
     discard(clusters)
@@ -304,14 +304,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = components(confirmed.unionByName(own))
     for table in (members, *read):
         discard(table)
-    roots = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(roots, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    roots = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component_id"), F.col("copies").alias("_n"))
+    out = signed.select("doc_id", "n_shingles", "set_key")
+    alone = out.filter("doc_id is null or set_key is null").withColumn("component_id", F.col("doc_id"))
+    out = split_join(out.filter("doc_id is not null and set_key is not null"), roots, ["set_key"]).unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents less all but one (the smallest doc_id) of each component; columns as they came."""
     gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
     rows = boxed(docs, own=F.col("doc_id").cast("long"))
-    return unboxed(rows.join(gone, F.col("own") == F.col("gone"), "left_anti"), docs)
+    kept = rows.filter("own is not null").join(gone, F.col("own") == F.col("gone"), "left_anti")
+    return unboxed(kept.unionByName(rows.filter("own is null")), docs)
