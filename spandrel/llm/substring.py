@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SCAN_BYTES, Words, bounded_batches, box_schema, boxed, expand, mix, partitions, slices, squeeze, text_bytes, thrifty, unboxed
+from .common import SCAN_BYTES, Words, bounded_batches, box_schema, boxed, discard, expand, mix, partitions, slices, squeeze, store, text_bytes, thrifty, unboxed
 
 MER = 3
-#: Buckets for each shuffle partition: a task sorts one bucket at a time.
-BUCKETS = 6
+#: Buckets for each shuffle partition, at least: a task sorts one bucket at a time. So many more that a bucket has about
+#: this many bytes of packed strings at most, which come to about three times the text's.
+BUCKETS, BUCKET_BYTES, PACKED = 6, 64 << 20, 3
 #: One document in this many is looked at for frequent minimisers, and at most so many are dealt by window.
 SAMPLE, MOST_HOT = 64, 4096
 #: Bytes of text shipped at once.
@@ -215,8 +216,9 @@ def _checksum(text: bytes | None) -> int:
     return zlib.crc32(text or b"")
 
 
-def _frequent(docs: DataFrame, width: int, n_buckets: int) -> np.ndarray:
-    """Minimisers of so many super-k-mers in a sample of documents that they would fill a good part of a bucket."""
+def _sampled(docs: DataFrame, width: int) -> tuple[list[tuple[int, int]], int, int]:
+    """Of a sample of documents: the most frequent minimisers with their numbers of super-k-mers, the number of all
+    super-k-mers, and the bytes of text."""
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,19 +226,28 @@ def _frequent(docs: DataFrame, width: int, n_buckets: int) -> np.ndarray:
             texts = batch.column(0).to_pylist()
             found = [super_kmers(Words(texts[a:b]), width, none)[2] for a, b in slices(texts, SCAN_BYTES)]
             low, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n, pa.int64())], ["low", "n"])
+            size = sum(len(t) for t in texts if t)
+            yield pa.RecordBatch.from_arrays([pa.array([*low.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), size], pa.int64())], ["low", "n"])
 
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(text_bytes())
-    counts = few.mapInArrow(run, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
-    rows = counts.filter("n >= 4").orderBy(F.desc("n"), "low").limit(MOST_HOT).collect()
-    everything = counts.agg(F.sum("n")).first()[0] or 0
-    return np.sort(np.array([r[0] for r in rows if r[1] * n_buckets * 8 > everything], np.int64).view(np.uint64))
+    counts = store(few.mapInArrow(run, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")), "minimisers")  # null: bytes of text
+    rows = counts.filter("low is not null and n >= 4").orderBy(F.desc("n"), "low").limit(MOST_HOT).collect()
+    everything, size = counts.agg(F.sum(F.when(F.col("low").isNotNull(), F.col("n"))), F.sum(F.when(F.col("low").isNull(), F.col("n")))).first()
+    discard(counts)
+    return [(r[0], r[1]) for r in rows], everything or 0, size or 0
+
+
+def _frequent(docs: DataFrame, width: int, n_buckets: int, sampled: tuple[list[tuple[int, int]], int, int] | None = None) -> np.ndarray:
+    """Minimisers of so many super-k-mers in a sample of documents that they would fill a good part of a bucket."""
+    counts, everything, _ = sampled or _sampled(docs, width)
+    return np.sort(np.array([low for low, n in counts if n * n_buckets * 8 > everything], np.int64).view(np.uint64))
 
 
 def repeated_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, mark (checksum of the text), ranges: the word ranges of each text that repeat a smaller document's window."""
-    n_buckets = partitions(docs.sparkSession) * BUCKETS
-    hot = _frequent(docs, width, n_buckets)
+    sampled = _sampled(docs, width)
+    n_buckets = max(partitions(docs.sparkSession) * BUCKETS, -(-sampled[2] * SAMPLE * PACKED // BUCKET_BYTES))
+    hot = _frequent(docs, width, n_buckets, sampled)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in thrifty(batches):
