@@ -245,3 +245,27 @@ def test_the_session_names_the_shared_folder(spark):
     from spandrel.llm.common import shared_dir
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_a_split_join_equals_a_plain_one(spark):
+    from spandrel.llm.components import HOT_ROWS, split_join
+
+    sizes = {1: 5 * HOT_ROWS, 2: HOT_ROWS, 3: HOT_ROWS - 1, 4: 1}
+    rows = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)] + [(None, 0), (9, 0)], "k long, i long")
+    lows = spark.createDataFrame([(k, -k, n) for k, n in sizes.items()] + [(7, -7, 0)], "k long, low long, _n long")
+    found = sorted(map(tuple, split_join(rows, lows, ["k"]).select("k", "i", "low").collect()))
+    assert found == sorted((k, i, -k) for k, n in sizes.items() for i in range(n))
+    none = rows.filter("false")
+    assert split_join(none, lows, ["k"]).isEmpty() and split_join(rows, lows.filter("false"), ["k"]).isEmpty()
+
+
+def test_many_copies_and_documents_without_words_or_id(spark):
+    from spandrel.llm.near_dup import drop_near_duplicates, near_duplicates
+
+    same = "one two three four five six seven"
+    rows = [(i, same) for i in range(10, 210)] + [(1, "eight nine ten"), (2, ""), (3, None), (None, same), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(r) for r in near_duplicates(docs, 2, 80).select("doc_id", "component_id", "kept").collect() if r[0] is not None}
+    assert found == {(i, 10, i == 10) for i in range(10, 210)} | {(i, i, True) for i in (1, 2, 3)}
+    left = [r[0] for r in drop_near_duplicates(docs, 2, 80).collect()]
+    assert sorted(x for x in left if x is not None) == [1, 2, 3, 10] and left.count(None) == 2
