@@ -6,6 +6,11 @@ that of exact binary values.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -26,23 +31,33 @@ def summarise(inspected: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("reduction", reduction(F.col("total_original"), F.col("total_compressed")))
 
 
+def _first_above(tenth: int) -> float:
+    """The first double that rounds up from this tenth: beyond the tie in the middle, or at it where the tenth is odd."""
+    near, tie = (2 * tenth + 1) / 20, Fraction(2 * tenth + 1, 20)
+    return near if Fraction(near) > tie or (Fraction(near) == tie and tenth % 2) else math.nextafter(near, 1.0)
+
+
 def one_decimal(number: Column) -> Column:
-    """A non-negative double with one digit, rounded by its exact binary value, ties to even."""
-    bits = F.when(number < 1024, F.lit(52)).otherwise(F.lit(32))
-    one = F.pow(F.lit(2.0), bits).cast("long").cast("decimal(38,0)")
-    scaled = (number * F.pow(F.lit(2.0), bits)).cast("long").cast("decimal(38,0)") * 10
-    rest = scaled % one
-    whole = ((scaled - rest) / one).cast("long")
-    up = (2 * rest > one) | ((2 * rest == one) & (whole % 2 == 1))
-    tenths = whole + F.when(up, 1).otherwise(0)
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
-
-
-def csv_lines(inspected: DataFrame, path: str = "path") -> DataFrame:
-    """One line a frame, unquoted, to be written with the text writer under CSV_HEADER."""
+    """A double with one digit, rounded by its exact binary value, ties to even; NULL from 2 ** 115 on, beyond any ratio.
+
+    Scaled to integers, small and large numbers lose bits and look like ties. Whole part and rest of a double are doubles,
+    and the rest is compared with the bounds of the ten tenths.
+    """
+    size, unit = F.when(F.abs(number) < F.lit(2.0**115), F.abs(number)), 2**53
+    high = F.floor(size / F.lit(float(unit)))
+    low = size - high * F.lit(float(unit))
+    rest = low - F.floor(low)
+    tenths = reduce(add, ((rest >= F.lit(_first_above(t))).cast("int") for t in range(10)))
+    whole = high.cast("decimal(20,0)") * F.lit(unit).cast("decimal(16,0)") + F.floor(low) + F.when(tenths == 10, 1).otherwise(0)
+    return F.concat(F.when(number < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def csv_lines(inspected: DataFrame, path: str = "path", *keys: str) -> DataFrame:
+    """One line a frame, unquoted, to be written with the text writer under CSV_HEADER; beside key columns, if any. NULL
+    where a field is, as those of a frame with an error are."""
     share = one_decimal(ratio(F.col("original_size"), F.col("compressed_size")))
     parts = [F.col(path), F.col("original_size").cast("string"), F.col("compressed_size").cast("string"), share, F.col("plugin_name"), F.col("crc_valid").cast("string")]
-    return inspected.select(F.concat_ws(",", *parts).alias("value"))
+    return inspected.select(*keys, F.concat(parts[0], *(x for part in parts[1:] for x in (F.lit(","), part))).alias("value"))
 
 
 def json_objects(inspected: DataFrame, *keys: str) -> DataFrame:

@@ -437,10 +437,10 @@ def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV lines of made-up packed sizes, with ratios rounded by their exact binary value."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
-        F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.octet_length(F.encode("text", "UTF-8")).cast("decimal(20,0)").alias("original_size"),
+        "doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.octet_length(F.encode("text", "UTF-8")).cast("decimal(20,0)").alias("original_size"),
         (F.col("doc_id") * 7919 % 5000 + 20).alias("compressed_size"), F.lit("deflate").alias("plugin_name"), F.lit(True).alias("crc_valid"),
     )
-    return reports.csv_lines(rows).select(F.regexp_extract("value", "^d([0-9]+)", 1).cast("long").alias("doc_id"), F.col("value").alias("line"))
+    return reports.csv_lines(rows, "path", "doc_id").withColumnRenamed("value", "line")
 
 
 @query(

@@ -30,6 +30,24 @@ def test_oracle(spark, sf, name):
     hold_against_sql(spark, sf, catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
+def hold_csv_against_sql(spark, folder, texts):
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    sql = catalogue.ORACLES["report_csv"].replace("FROM documents", f"FROM '{folder}/documents.parquet/*.parquet'")
+    got = sorted([tuple(r) for r in catalogue.report_csv(spark, str(folder)).select("doc_id", "line").collect()], key=str)
+    assert got == sorted(duckdb.connect().sql(sql).fetchall(), key=str)
+    return got
+
+
+def test_csv_beside_ties(spark, tmp_path):
+    """Ratios just above a tie (3161 / 80: 3951.2500000000005) and on one (18368.75 and 23606.25)."""
+    got = hold_csv_against_sql(spark, tmp_path, [(4739, "a" * 80), (37459, "b" * 80), (250359, "é" * 40), (1, "c" * 16), (3, "d" * 16)])
+    assert {(4739, "d4739,80,3161,3951.3,deflate,true"), (1, "d1,16,2939,18368.8,deflate,true"), (3, "d3,16,3777,23606.2,deflate,true")} < set(got)
+
+
+def test_csv_of_odd_rows(spark, tmp_path):
+    hold_csv_against_sql(spark, tmp_path, [(0, ""), (3, None), (None, "d"), (-5, "e" * 70)])
+
+
 def test_without_oracle(spark, sf):
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"compression_effect"}
     rows = catalogue.compression_effect(spark, sf).filter("original_size >= 4096")

@@ -1,5 +1,6 @@
 """Reports, files, configuration, control, command line, streaming and the catalogue."""
 
+import math
 import os
 import threading
 import time
@@ -43,6 +44,22 @@ def test_one_decimal(spark):
     assert [r[1] for r in rows] == [f"{r[0]:.1f}" for r in rows]
 
 
+def test_one_decimal_beside_ties(spark):
+    """Ties and the doubles next to them, of every tenth and many sizes; the ratio 3161 / 80 is such a neighbour."""
+    ties = [whole + (2 * tenth + 1) / 20 for whole in (0, 1, 12, 1023, 1024, 3951, 99999, 2**31, 2**40) for tenth in range(10)]
+    numbers = [x for tie in ties for x in (math.nextafter(tie, 0.0), tie, math.nextafter(tie, math.inf))]
+    numbers += [3161 / 80 * 100.0, 2.0**53 + 2, 1.8446744073709552e21, 5e-324, -0.04, -4575.25]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", reports.one_decimal(F.col("x"))).collect()
+    assert [r[1] for r in rows] == [f"{r[0]:.1f}" for r in rows]
+
+
+def test_csv_lines(spark):
+    rows = spark.createDataFrame([(1, "a,b", 80, 3161, "deflate", True), (2, "c", 0, 20, "deflate", False), (3, "d", None, 20, None, None), (4, "e", 1, 22000000, "deflate", True)], "k int, path string, original_size long, compressed_size long, plugin_name string, crc_valid boolean")
+    got = {r["k"]: r["value"] for r in reports.csv_lines(rows.withColumn("original_size", F.col("original_size").cast("decimal(20,0)")), "path", "k").collect()}
+    assert got == {1: "a,b,80,3161,3951.3,deflate,true", 2: "c,0,20,0.0,deflate,false", 3: None, 4: "e,1,22000000,2200000000.0,deflate,true"}
+    assert reports.csv_lines(rows).columns == ["value"]
+
+
 def test_names(spark):
     for path, packed, inside, restored in (("in/a.txt", "in/a.txt.frame", "out/a.frame", "in/a"), ("a", "a.frame", "out/a.frame", "a"), ("a.tar.gz", "a.tar.gz.frame", "out/a.tar.frame", "a.tar"), ("/x.y/.hidden", "/x.y/.hidden.frame", "out/.hidden.frame", "/x.y/.hidden")):
         assert value(spark, report.frame_path(F.lit(path))) == packed
